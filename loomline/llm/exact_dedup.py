@@ -150,6 +150,15 @@ def _by_text(docs: DataFrame, runs: DataFrame, index: DataFrame, bad: DataFrame,
     return _result(rest, index).unionByName(apart)
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The kept rows of ``docs``, all columns unchanged; of rows with equal id and equal normalised text, one."""
+    names = docs.columns
+    sha = F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
+    stay = exact_dedup(docs).where("kept").select(F.col("text_sha256").alias("_sha"), F.coalesce(F.col("keep_id"), F.lit(-(1 << 62))).alias("_id"))
+    rows = docs.withColumn("_sha", sha).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))))
+    return rows.join(stay, ["_sha", "_id"], "left_semi").dropDuplicates(["_sha", "_id"]).select(*names)
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.llm import exact_dedup, mixing, packing, repetition, sharding, simhash
+from loomline.llm import exact_dedup, html_main, mixing, packing, repetition, sharding, simhash, surrogates, warc, wavelet
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,10 @@ QUERIES = {
     "op3_label_propagation": sharding.op3_label_propagation,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_pack": packing.op5_pack,
+    "op6_surrogates": surrogates.op6_surrogates,
     "op7_simhash": simhash.op7_simhash,
+    "op8_wavelet": wavelet.op8_wavelet,
+    "op9_html_main": html_main.op9_html_main,
+    "op10_warc": warc.op10_warc,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op2_repetition": repetition.ORACLE_SQL}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op2_repetition": repetition.ORACLE_SQL, "op9_html_main": html_main.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}

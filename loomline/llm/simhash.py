@@ -60,33 +60,48 @@ def _segments(fp, bits: int) -> list:
     return [F.bit_count(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit(mask))) for at in range(0, 64, bits)]
 
 
-def _offsets(distance: int) -> list[tuple[int, int, int, int]]:
-    """One of each two opposite steps in the grid whose Manhattan length is within the distance, and no step."""
-    span = range(-distance, distance + 1)
-    return [(a, b, c, d) for a in span for b in span for c in span for d in span if abs(a) + abs(b) + abs(c) + abs(d) <= distance and (a, b, c, d) >= (0, 0, 0, 0)]
+def _offsets(distance: int, width: int, zones: int) -> list[tuple[int, ...]]:
+    """Steps between grid cells that points within the distance can lie in: one of each two opposite steps, and none."""
+    cost = lambda d: 0 if d == 0 else width * (abs(d) - 1) + 1  # noqa: E731  least distance of points so many cells apart
+    reach = [d for d in range(-(16 // width) - 1, 16 // width + 2) if cost(d) <= distance]
+    steps: list[tuple[int, ...]] = [()]
+    for _ in range(4):
+        steps = [(*s, d) for s in steps for d in reach if sum(map(cost, s)) + cost(d) <= distance]
+    return [(*s, z) for s in steps for z in range(-zones, zones + 1) if (*s, z) >= (0, 0, 0, 0, 0)]
 
 
 def _forest(x: np.ndarray, y: np.ndarray, distance: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between two blocks (or inside one)."""
-    if same:
-        y = x
-    fine = lambda v: np.bitwise_count(v.view(np.uint8).reshape(-1, 8)).astype(np.int8)
-    fx, fy = fine(np.ascontiguousarray(x)), fine(np.ascontiguousarray(y))
-    near_x, near_y = [], []
-    for at in range(0, len(x), 128):
-        bound = np.zeros((len(fx[at : at + 128]), len(y)), np.int16)
-        for k in range(8):
-            bound += np.abs(fx[at : at + 128, None, k] - fy[None, :, k])
-        i, j = np.nonzero(bound <= distance)
-        hit = np.bitwise_count(x[at + i] ^ y[j]) <= distance
-        near_x.append(at + i[hit])
-        near_y.append(j[hit])
-    i, j = np.concatenate(near_x), np.concatenate(near_y)
-    if same:
-        i, j = i[i < j], j[i < j]
-    else:
-        j = j + len(x)
-    parent = list(range(len(x) + (0 if same else len(y))))
+    """Places in x and y of a spanning forest of the links between two blocks (or inside one), closest links first."""
+    fine = lambda v: np.bitwise_count(np.ascontiguousarray(v).view(np.uint8).reshape(-1, 8)).astype(np.int8)
+    bounded = distance < 8  # the finer lower bound pays while it rules out most pairs
+    fx, fy = (fine(x), fine(y)) if bounded else (None, None)
+    found_i, found_j, found_d = [], [], []
+    for at in range(0, len(x), 64):
+        some = x[at : at + 64]
+        if bounded:
+            bound = np.zeros((len(some), len(y)), np.int16)
+            for k in range(8):
+                bound += np.abs(fx[at : at + 64, None, k] - fy[None, :, k])
+            i, j = np.nonzero(bound <= distance)
+            apart = np.bitwise_count(some[i] ^ y[j])
+            hit = apart <= distance
+            i, j, apart = i[hit], j[hit], apart[hit]
+        else:
+            every = np.bitwise_count(some[:, None] ^ y[None, :])
+            i, j = np.nonzero(every <= distance)
+            apart = every[i, j]
+        if same:
+            hit = at + i < j
+            i, j, apart = i[hit], j[hit], apart[hit]
+        found_i.append(at + i)
+        found_j.append(j)
+        found_d.append(apart)
+    i, j, apart = (np.concatenate(v) for v in (found_i, found_j, found_d))
+    if not len(i):
+        return i, j
+    shift = 0 if same else len(x)
+    order = np.argsort(apart, kind="stable")
+    parent = list(range(len(x) + shift + len(y)))
 
     def root(a: int) -> int:
         while parent[a] != a:
@@ -95,44 +110,50 @@ def _forest(x: np.ndarray, y: np.ndarray, distance: int, same: bool) -> tuple[np
         return a
 
     keep = []
-    for n, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
+    for n, a, b in zip(order.tolist(), i[order].tolist(), (j[order] + shift).tolist()):
         ra, rb = root(a), root(b)
         if ra != rb:
             parent[ra] = rb
             keep.append(n)
-    i, j = i[keep], j[keep]
-    return x[i], (y[j] if same else y[j - len(x)])
+    return i[keep], j[keep]
+
 
+def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """(a, b): ids of linked nodes (fp, id, z); components are those of all pairs within the distance and |z - z'| <= 1.
 
-def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """(a, b): links among different fingerprints ``fp``; the components are those of all pairs within the distance."""
-    c = _segments(F.col("fp"), 16)
-    cells = fps.select("fp", *[x.alias(f"c{k}") for k, x in enumerate(c)])
-    keys = [f"c{k}" for k in range(4)]
-    # Blocks by a hash: a cell's share is cut evenly without counting it in one task.
+    Give every node the same z to link by fingerprints alone.
+    """
+    width = max(1, round(distance / 4))
+    keys = ["c0", "c1", "c2", "c3", "z"]
+    cells = nodes.select("fp", "id", "z", *[F.floor(x / width).cast("int").alias(f"c{k}") for k, x in enumerate(_segments(F.col("fp"), 16))])
+    # Blocks by a hash: a crowded cell is cut into even shares, and no task gathers a cell.
     sizes = cells.groupBy(*keys).agg(F.count("*").alias("n"))
-    cells = cells.join(sizes, keys).withColumn("blk", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / block)).cast("int"))
-    blocks = materialize(cells.groupBy(*keys, "blk").agg(F.collect_list("fp").alias("fps")), "blocks")
-    steps = F.array(*[F.struct(*[F.lit(v).alias(f"d{k}") for k, v in enumerate(o)]) for o in _offsets(distance)])
-    home = blocks.select(*keys, F.col("blk").alias("right_blk"), F.col("fps").alias("right"))
-    # Which cells exist is joined first, by number only; blocks meet their partners after that.
-    near = blocks.select(*keys, "blk").withColumn("s", F.explode(steps))
-    near = near.select("blk", *[F.col(k).alias(f"l{k}") for k in keys], *[(F.col(k) + F.col(f"s.d{n}")).alias(k) for n, k in enumerate(keys)])
-    near = near.join(home.select(*keys, "right_blk"), keys).where(~(F.expr(" AND ".join(f"l{k} = {k}" for k in keys)) & (F.col("right_blk") < F.col("blk"))))
-    left = blocks.select(*[F.col(k).alias(f"l{k}") for k in keys], "blk", F.col("fps").alias("left"))
-    pairs = near.join(left, [*[f"l{k}" for k in keys], "blk"]).join(home, [*keys, "right_blk"])
-    pairs = pairs.select("left", "right", (F.expr(" AND ".join(f"l{k} = {k}" for k in keys)) & (F.col("blk") == F.col("right_blk"))).alias("same"))
+    cells = cells.join(F.broadcast(sizes), keys)  # 17**4 cells at most, times the zones
+    cells = cells.withColumn("blk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)).cast("int"))
+    blocks = materialize(cells.groupBy(*keys, "blk").agg(F.collect_list("fp").alias("fps"), F.collect_list("id").alias("ids")), "blocks")
+    zones = 0 if blocks.agg(F.min("z") == F.max("z")).first()[0] is not False else 1
+    # Which blocks meet is found by their numbers alone; the fingerprints follow.
+    steps = F.array(*[F.struct(*[F.lit(v).alias(f"d{k}") for k, v in enumerate(o)]) for o in _offsets(distance, width, zones)])
+    names = blocks.select(*keys, "blk")
+    near = names.withColumn("s", F.explode(steps)).select(F.col("blk").alias("lblk"), *[F.col(k).alias(f"l{k}") for k in keys], *[(F.col(k) + F.col(f"s.d{n}")).cast("int").alias(k) for n, k in enumerate(keys)])
+    here = F.lit(True)
+    for k in keys:
+        here = here & (F.col(f"l{k}") == F.col(k))
+    near = near.join(names, keys).where(~here | (F.col("lblk") <= F.col("blk")))
+    left = blocks.select(*[F.col(k).alias(f"l{k}") for k in keys], F.col("blk").alias("lblk"), F.col("fps").alias("x"), F.col("ids").alias("xi"))
+    right = blocks.select(*keys, "blk", F.col("fps").alias("y"), F.col("ids").alias("yi"))
+    pairs = near.join(left, [*[f"l{k}" for k in keys], "lblk"]).join(right, [*keys, "blk"])
+    pairs = pairs.select("x", "xi", "y", "yi", (here & (F.col("lblk") == F.col("blk"))).alias("same"))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_a, out_b = [], []
+            out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k in range(batch.num_rows):
-                x, y = (batch.column(c)[k].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1))
-                a, b = _forest(x, y, distance, batch.column(2)[k].as_py())
-                out_a.append(a)
-                out_b.append(b)
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (out_a, out_b)], ["a", "b"])
+                x, xi, y, yi = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in range(4))
+                i, j = _forest(x.view(np.uint64), y.view(np.uint64), distance, batch.column(4)[k].as_py())
+                out_a.append(xi[i])
+                out_b.append(yi[j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (out_a, out_b)], ["a", "b"])
 
     return pairs.mapInArrow(compare, "a long, b long")
 
@@ -166,24 +187,78 @@ def near_dedup(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE
     """(doc_id, fingerprint, component_id) of every row."""
     marked = materialize(fingerprints(docs, shingle), "fingerprints")
     groups = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "groups")
-    edges = materialize(links(groups.select("fp"), distance, block), "links")
-    roots = materialize(components(edges), "roots")
+    edges = links(groups.select("fp", F.col("fp").alias("id"), F.lit(0).alias("z")), distance, block)
+    roots = components(edges)
     named = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = materialize(named.join(lowest, "root").select("fp", "component_id"), "named")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = 5, block: int = BLOCK) -> DataFrame:
-    """Documents without near copies: of each component one row stays, the one with the smallest id; columns unchanged."""
-    found = near_dedup(docs, distance, shingle, block)
-    first = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    stay = materialize(found.where(first).select(F.col("doc_id").alias("_id")).distinct(), "stay")
-    out = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return out
+def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, hashes): the sorted different shingle hashes of each text, as bytes."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"))
+        for batch in batches:
+            sets = []
+            for t in batch.column(1).to_pylist():
+                words = (t or "").encode("utf-8", "surrogatepass").lower().split()
+                k = min(shingle, max(1, len(words)))
+                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)], np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "hashes"])
+
+    return docs.select("id", F.col("text").cast("string")).mapInArrow(run, "id long, hashes binary")
+
+
+def _jaccard_at_least(pairs: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b, x, y) of shingle sets that are as similar as ``least``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= least * max(1, len(p) + len(q) - both) or len(p) == len(q) == 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = 12, block: int = BLOCK) -> DataFrame:
+    """The documents less near copies: one row of each group stays, that with the smallest id; columns unchanged.
+
+    Fingerprints over ``shingle`` words within ``distance`` bits propose links, closest first, between texts whose
+    sizes allow the similarity; a link holds if the Jaccard similarity of the shingle sets is ``similarity`` or more.
+    Rows equal in all columns are one. Wordless texts are copies of each other.
+    """
+    names = docs.columns
+    key = F.xxhash64(*names)
+    size = F.greatest(F.lit(1), F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+")) - (shingle - 1))
+    zone = F.floor(F.log(size.cast("double")) / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
+    slim = materialize(_with_fingerprint(docs.select(key.alias("key"), "doc_id", "text", zone.alias("z")), shingle).distinct(), "nodes")
+    edges = materialize(links(slim.select("fp", F.col("key").alias("id"), "z"), distance, block).distinct(), "proposed")
+    ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
+    sets = materialize(_shingle_sets(docs.select(key.alias("id"), "text").join(ends, "id", "left_semi").dropDuplicates(["id"]), shingle), "sets")
+    pairs = edges.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+    roots = components(_jaccard_at_least(pairs, similarity))
+    named = slim.join(roots, slim["key"] == roots["node"], "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
+    stay = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("b")).select(F.col("b.key").alias("_key"))
+    return docs.withColumn("_key", key).join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*names)
+
+
+def _with_fingerprint(marked: DataFrame, shingle: int) -> DataFrame:
+    """(key, doc_id, z, fp) from rows (key, doc_id, text, z)."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(fps)], ["key", "doc_id", "z", "fp"])
+
+    return marked.select("key", F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("z").cast("int")).mapInArrow(run, "key long, doc_id long, z int, fp long")
 
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
