@@ -123,7 +123,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Dat
 
     Give every node the same z to link by fingerprints alone.
     """
-    width = max(1, round(distance / 4))
+    width = max(1, distance - 3)
     keys = ["c0", "c1", "c2", "c3", "z"]
     cells = nodes.select("fp", "id", "z", *[F.floor(x / width).cast("int").alias(f"c{k}") for k, x in enumerate(_segments(F.col("fp"), 16))])
     # Blocks by a hash: a crowded cell is cut into even shares, and no task gathers a cell.
@@ -167,12 +167,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "minima")
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: neighbours above a node hang on its minimum
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = materialize(large.distinct(), "large")
         # small star: neighbours below a node hang on the smallest of them
-        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         after = materialize(small.where("a <> b").distinct(), "edges")
         mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
