@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from loomline.plans import conversations, documents, metrics, relational, retrieval, streams
+from loomline.registry import ORACLES, QUERIES
+
 FLAGSHIP = "h10_weighted_hybrid"
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
+assert all((conversations, documents, metrics, relational, retrieval, streams))

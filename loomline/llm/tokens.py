@@ -7,18 +7,24 @@ the pieces. Pieces over 64 characters are never kept.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
-from itertools import compress, repeat
+from array import array
+from itertools import compress, count, repeat
 from operator import is_
 
 import numpy as np
 
 BYTE_LEVEL, WORD_END = "byte_bpe_50k.json", "word_bpe_49k.json"
 _OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # white space but " " and "\n"
-_MARKS = re.compile("(.*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([.,;:!?]+)", re.S)
+_MARKS = re.compile(r"(.*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([!-/:-@\[-`{-~]+)", re.S)
+_MARK_SIGNS = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _CUT = re.compile(r"(?<!\s) (?!\s)")
 _LIMIT = 400_000  # pieces in each of two generations
+#: How byte-level vocabularies write bytes: printable ones as they are, the others from 256 on, in order.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _CODERS: dict[str, Coder] = {}
 
 
@@ -42,7 +48,10 @@ class Coder:
         self.mark = "<|endoftext|>"
         self.mark_id = self.joined.token_to_id(self.mark)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.model = self.tokenizer.model
         self.words = not self.tokenizer.encode(" \n a \t", add_special_tokens=False).ids[1:]
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.line_feed = (self.tokenizer.encode("\n", add_special_tokens=False).ids or [0])[0]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -52,7 +61,8 @@ class Coder:
             return text.replace("\n", " ").split(" ")
         # Between two characters that aren't white space, a space always begins a new piece, which takes it along.
         odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER.search(text)
-        return _CUT.split(text) if odd else text.split(" ")
+        # A single line feed between two such characters is a piece of its own; it begins a unit that has no space.
+        return _CUT.split(text) if odd else text.replace("\n", " \n").split(" ")
 
     def _learn(self, need: set[str]) -> None:
         """Put pieces into ``young``: from ``old``, or from their word and the marks after it, or by the tokenizer."""
@@ -60,18 +70,21 @@ class Coder:
         for u in need:
             if (code := old.get(u)) is not None:
                 young[u] = code
-            elif m := _MARKS.fullmatch(u):
-                base, tail = self._base(m[1]), m[2]
+            elif u[-1:] in _MARK_SIGNS and (m := _MARKS.fullmatch(u)):
+                base, tail = self._base(m[1]) if self.words else m[1], m[2]
                 split.append((u, base, tail))
                 if base not in young and base not in old:
                     ask.add(base)
-            elif (base := self._base(u)) != u and (code := young.get(base)) is not None:
+            elif (base := self._base(u) if self.words else u) != u and (code := young.get(base)) is not None:
                 young[u] = code
             else:
                 ask.add(base)
                 split.append((u, base, ""))
         asked = list(ask)
-        have = dict(zip(asked, self._encode(asked if self.words else [" " + w for w in asked])))
+        plain = [w for w in asked if (w[1:] if w[:1] == "\n" else w).isalpha() and max(w) < "\u0250"]
+        have = dict(zip(plain, map(self._word, plain)))
+        asked = [w for w in asked if w not in have]
+        have.update(zip(asked, self._encode(self._spaced(asked))))
         tails = list({tail for _, _, tail in split})
         last = dict(zip(tails, self._encode(tails)))
         young.update(have)
@@ -82,6 +95,18 @@ class Coder:
         """The form under which a word is asked for; lower case where the tokenizer lowers, for letters that have one form."""
         return word.lower() if self.words and word and max(word) < "\u0130" else word
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of Latin letters, after a space: one piece, so the tokenizer's model takes it as it is."""
+        piece = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+        if word[0] == "\n":
+            ids = [self.line_feed, *[t.id for t in self.model.tokenize(piece[1:])]]
+        else:
+            ids = [t.id for t in self.model.tokenize(piece if self.words else "\u0120" + piece)]
+        return array(self.code, ids).tobytes()
+
+    def _spaced(self, units: list[str]) -> list[str]:
+        return units if self.words else [u if u[:1] == "\n" else " " + u for u in units]
+
     def _encode(self, pieces: list[str]) -> list[bytes]:
         plain = [p for p in pieces if "<|" not in p] if self.mark_id is not None else []
         done: dict[str, bytes] = {}
@@ -98,6 +123,16 @@ class Coder:
         return [done[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as bytes of ``dtype``. No cycles are made here, so the collector of cycles can rest."""
+        resting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._texts(texts)
+        finally:
+            if resting:
+                gc.enable()
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > _LIMIT:
             self.old, self.young = self.young, {}
         units = [self._units(t) for t in texts]
@@ -106,12 +141,10 @@ class Coder:
         need = set().union(*(compress(u, map(is_, g, repeat(None))) for u, g in zip(units, got)))
         long = {x for x in need if len(x) > 64}
         self._learn(need - long)
-        apart = dict(zip(long, self._encode([x if self.words else " " + x for x in long])))
+        apart = dict(zip(long, self._encode(self._spaced(list(long)))))
         for u, g in zip(units, got):
-            if None in g:
-                g[:] = map(self.young.get, u)
-            if long and None in g:
-                g[:] = [c if c is not None else apart[x] for x, c in zip(u, g)]
+            for i in list(compress(count(), map(is_, g, repeat(None)))):
+                g[i] = self.young[u[i]] if u[i] not in apart else apart[u[i]]
         heads = dict(zip(set(firsts), self._encode(list(set(firsts)))))
         return [heads[f] + b"".join(g) for f, g in zip(firsts, got)]
 
@@ -123,7 +156,7 @@ def coder(path: str) -> Coder:
     return _CODERS[path]
 
 
-def blocks(texts: list, limit: int = 4 << 20):
+def blocks(texts: list, limit: int = 2 << 20):
     """Index ranges of ``texts`` with about ``limit`` characters each."""
     start = held = 0
     for i, t in enumerate(texts):

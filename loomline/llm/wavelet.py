@@ -1,12 +1,12 @@
 """Token ids in binary shards: a wavelet matrix per shard file.
 
 The matrix holds one bit-plane per bit of the ids, highest first; a plane's zeros go before its ones in the next.
-Rank directories (ones before every 512 bits) give access to any token, counts of an id and its occurrences from the
-one compressed file, without unpacking the sequence.
+Counts of ones along each plane give access to any token, counts of an id and its occurrences from the one compressed
+file, without the sequence itself.
 
 File format, little-endian: 8 bytes ``LWM1`` + planes + word size; int64 tokens, int64 documents; then zstd frames,
 each after its int64 length: document ids (int64, with a validity byte each), document starts in the shard (int64),
-and per plane the packed bits. Rank directories are rebuilt when a file is read.
+and per plane the packed bits. Counts along the planes are made when they are first asked for.
 
 Documents go to shards in ascending id (null ids last, repeated ids by checksum): ids are encoded once and written,
 then ranged by id, so a shard holds a contiguous range. Null and empty texts hold the end id alone. An empty table
@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from loomline.llm import tokens
 from loomline.llm.common import materialize, new_path, table
 from loomline.llm.packing import encoded
 
-END, SHARD_TOKENS, MAGIC = 1, 1 << 21, b"LWM1"
+END, SHARD_TOKENS, MAGIC = 1, 1 << 20, b"LWM1"
 
 
 class WaveletMatrix:
@@ -39,25 +40,39 @@ class WaveletMatrix:
 
     def __init__(self, bits: list[np.ndarray], n: int) -> None:
         self.bits, self.n = bits, n
-        self.ones = [np.r_[0, np.cumsum(b, dtype=np.int64)] for b in bits]  # ones before each place
-        self.zeros = [n - int(o[-1]) for o in self.ones]
+        self.zeros = [n - int(np.count_nonzero(b)) for b in bits]
+
+    @cached_property
+    def ones(self) -> list[np.ndarray]:
+        """Ones before each place, by plane."""
+        return [np.concatenate([[0], np.cumsum(b, dtype=np.int64)]).astype(np.int32) for b in self.bits]
 
     @classmethod
     def build(cls, ids: np.ndarray, planes: int) -> WaveletMatrix:
         bits, now = [], ids
         for level in range(planes - 1, -1, -1):
-            bit = (now >> level).astype(np.uint8) & 1
+            bit = (now & (1 << level)) != 0
             bits.append(bit)
-            now = np.concatenate([now[bit == 0], now[bit == 1]])
+            now = np.concatenate([now[~bit], now[bit]])
         return cls(bits, len(ids))
 
+    def sequence(self) -> np.ndarray:
+        """All ids in order: the last order is undone plane by plane, each in one pass."""
+        now = np.zeros(self.n, np.uint32)
+        for place, (bit, zeros) in enumerate(zip(reversed(self.bits), reversed(self.zeros))):
+            before = np.empty(self.n, np.uint32)
+            before[~bit] = now[:zeros]
+            before[bit] = now[zeros:] | np.uint32(1 << place)
+            now = before
+        return now
+
     def access(self, places: np.ndarray) -> np.ndarray:
         """The ids at the given places."""
         at, out = np.asarray(places, np.int64), np.zeros(len(places), np.int64)
         for bit, ones, zeros in zip(self.bits, self.ones, self.zeros):
             b, o = bit[at], ones[at]
             out = (out << 1) | b
-            at = np.where(b == 1, zeros + o, at - o)
+            at = np.where(b, zeros + o, at - o)
         return out
 
     def _range(self, value: int, end: int) -> tuple[int, int]:
@@ -116,7 +131,7 @@ def from_bytes(data: bytes) -> tuple[WaveletMatrix, list, np.ndarray]:
         at += 8 + size
     known = np.frombuffer(parts[0], np.uint8, docs, 8 * docs)
     ids = [int(d) if k else None for d, k in zip(np.frombuffer(parts[0], "<i8", docs), known)]
-    bits = [np.unpackbits(np.frombuffer(p, np.uint8), count=n) for p in parts[2:]]
+    bits = [np.unpackbits(np.frombuffer(p, np.uint8), count=n).view(bool) for p in parts[2:]]
     return WaveletMatrix(bits, n), ids, np.frombuffer(parts[1], "<i8")
 
 
@@ -175,10 +190,10 @@ def read_shards(spark: SparkSession, folder: str, manifest: list) -> DataFrame:
                 store, root = _open(folder)
                 with store.open_input_stream(f"{root}/{name}") as source:
                     matrix, ids, starts = from_bytes(source.read())
-                ends = np.append(starts[1:], matrix.n)
+                ends, whole = np.append(starts[1:], matrix.n), matrix.sequence()
                 for a in range(0, len(ids), 2000):
                     lo, hi = int(starts[a]), int(ends[min(a + 2000, len(ids)) - 1])
-                    data = matrix.access(np.arange(lo, hi)).astype("<u4").tobytes()
+                    data = whole[lo:hi].astype("<u4").tobytes()
                     pieces = [data[4 * (int(s) - lo) : 4 * (int(e) - lo)] for s, e in zip(starts[a : a + 2000], ends[a : a + 2000])]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 2000], pa.int64()), pa.array(base + starts[a : a + 2000]), pa.array(pieces, pa.binary())], ["doc_id", "start", "ids"])
 
