@@ -16,22 +16,28 @@ def query_terms(query: str) -> list[str]:
     return [w for w in re.sub(r"[^a-z0-9-]+", " ", lower).split(" ") if len(w) > 2]
 
 
+def term_counts(docs: DataFrame, keys: list[str], terms: list[str]) -> DataFrame:
+    """(keys, len, tf0, tf1, ...): the tokens of each document and how often each term is among them."""
+    words = docs.select(*keys, F.explode_outer(text.tokens(F.col("text"))).alias("w"))
+    return words.groupBy(*keys).agg(F.count("w").alias("len"), *[F.count_if(F.col("w") == t).alias(f"tf{i}") for i, t in enumerate(terms)])
+
+
 def bm25(docs: DataFrame, query: str, key: str = "doc_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(key, score) of every document with a query term. A repeated query term counts as often as it stands there.
 
-    Only the query's terms are counted: each document yields its length and one count per term, statistics are one
-    aggregated row, and no posting list is shuffled.
+    Only the query's terms are counted: tasks reduce each document to its length and one count per term before the
+    shuffle, statistics are one aggregated row of the same exchange, and no posting list is shuffled.
     """
     terms = query_terms(query)
-    words = text.tokens(F.col("text"))
-    counted = docs.select(key, words.alias("w")).select(key, F.size("w").alias("len"), F.array(*[F.size(F.filter("w", lambda x, t=t: x == t)) for t in dict.fromkeys(terms)] or [F.lit(0)]).alias("tf"))
     distinct = list(dict.fromkeys(terms))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(distinct))])
-    rows = counted.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row
+    counted = term_counts(docs, [key], distinct)
+    stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(distinct))])
+    found = sum((F.col(f"tf{i}") for i in range(len(distinct))), F.lit(0)) > 0
+    rows = counted.where(found).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i, term in enumerate(distinct):
         idf = F.greatest(F.lit(0.0), F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)))
-        tf = F.col("tf")[i]
+        tf = F.col(f"tf{i}")
         score = score + terms.count(term) * idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg")))
     return rows.select(key, score.alias("score"))
 

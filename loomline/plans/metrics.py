@@ -18,11 +18,11 @@ def status_pivot(t: Tables) -> DataFrame:
     return rows.agg(*[F.count_if(F.col("s") == s).alias(s) for s in ("pending", "failed", "completed")])
 
 
-@query("d8_outbox_stats", "SELECT event_type, count(*) AS n, min(ts) AS oldest, epoch_ms((SELECT max(ts) FROM events)) - epoch_ms(min(ts)) AS oldest_age_ms FROM events GROUP BY event_type")
+@query("d8_outbox_stats", "SELECT event_type, count(*) AS n, min(ts) AS oldest, (epoch_us((SELECT max(ts) FROM events)) - epoch_us(min(ts))) // 1000 AS oldest_age_ms FROM events GROUP BY event_type")
 def outbox_stats(t: Tables) -> DataFrame:
     newest = t.events.agg(F.max("ts").alias("newest"))
     stats = t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.min("ts").alias("oldest"))
-    return stats.crossJoin(F.broadcast(newest)).select("event_type", "n", "oldest", (F.unix_millis("newest") - F.unix_millis("oldest")).alias("oldest_age_ms"))
+    return stats.crossJoin(F.broadcast(newest)).select("event_type", "n", "oldest", F.floor((F.unix_micros(F.col("newest").cast("timestamp")) - F.unix_micros(F.col("oldest").cast("timestamp"))) / 1000).alias("oldest_age_ms"))
 
 
 @query("d9_best_per_source", "SELECT user_id, max(value) FILTER (WHERE event_type = 'click') AS click, max(value) FILTER (WHERE event_type = 'view') AS view, coalesce(max(value) FILTER (WHERE event_type = 'error'), 0) AS error FROM events GROUP BY user_id")

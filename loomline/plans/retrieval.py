@@ -148,9 +148,9 @@ def adaptive_threshold(t: Tables) -> DataFrame:
 @query("h13_personal_hybrid", f"""WITH {_SEM}, h AS (SELECT doc_id, source, ({' + '.join(f"least(3, len(list_filter(w, lambda x: x = '{x}')))" for x in dict.fromkeys(TERMS))}) / {float(len(set(TERMS)))} AS hits FROM (SELECT doc_id, source, {sqltext.tokens('text')} AS w FROM documents))
 SELECT h.doc_id, round((CASE WHEN semantic IS NULL THEN least(1.0, hits) ELSE 0.6 * semantic + 0.4 * least(1.0, hits) END) * CASE WHEN source = 'src3' THEN 1.25 ELSE 1.0 END, 6) AS score FROM h LEFT JOIN sem ON sem.doc_id = h.doc_id WHERE hits > 0""")
 def personal_hybrid(t: Tables) -> DataFrame:
-    words = text.tokens(F.col("text"))
-    hits = sum((F.least(F.lit(3), F.size(F.filter("w", lambda x, q=q: x == q))) for q in dict.fromkeys(TERMS)), F.lit(0)) / float(len(set(TERMS)))
-    rows = t.documents.select("doc_id", "source", words.alias("w")).select("doc_id", "source", hits.alias("hits")).where("hits > 0").join(_semantic(t), "doc_id", "left")
+    terms = list(dict.fromkeys(TERMS))
+    hits = sum((F.least(F.lit(3), F.col(f"tf{i}")) for i in range(len(terms))), F.lit(0)) / float(len(terms))
+    rows = r.term_counts(t.documents, ["doc_id", "source"], terms).select("doc_id", "source", hits.alias("hits")).where("hits > 0").join(_semantic(t), "doc_id", "left")
     lexical = F.least(F.lit(1.0), F.col("hits"))
     score = F.when(F.col("semantic").isNull(), lexical).otherwise(0.6 * F.col("semantic") + 0.4 * lexical) * F.when(F.col("source") == "src3", 1.25).otherwise(1.0)
     return _six(rows.select("doc_id", score.alias("score")), "score")

@@ -27,7 +27,7 @@ def session_ownership(t: Tables) -> DataFrame:
 
 @query("l4_lookback", "SELECT event_id, count(*) OVER w AS n, round(sum(value) OVER w, 6) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW)")
 def lookback(t: Tables) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.col("ts").cast("double")).rangeBetween(-7200, 0)
+    w = Window.partitionBy("user_id").orderBy(F.col("ts").cast("timestamp").cast("double")).rangeBetween(-7200, 0)
     return t.events.select("event_id", F.count("*").over(w).alias("n"), F.round(F.sum("value").over(w), 6).alias("total"))
 
 
@@ -47,9 +47,9 @@ def rolling_match(t: Tables) -> DataFrame:
 @query("l11_decayed_memory", """SELECT user_id, event_type, arg_max(event_id, (s, event_id)) AS event_id, round(max(s), 6) AS salience FROM (SELECT *, round(CASE WHEN event_id % 50 = 0 THEN 1.0 ELSE pow(0.5, (epoch((SELECT max(ts) FROM events)) - epoch(ts)) / CASE event_type WHEN 'view' THEN 86400.0 ELSE 604800.0 END) END, 9) AS s FROM events) GROUP BY 1, 2""")
 def decayed_memory(t: Tables) -> DataFrame:
     """The most salient item per user and kind: pinned items stay at 1, others halve with their kind's half-life."""
-    newest = t.events.agg(F.max("ts").cast("double").alias("now"))
+    newest = t.events.agg(F.max("ts").cast("timestamp").cast("double").alias("now"))
     half = F.when(F.col("event_type") == "view", 86400.0).otherwise(604800.0)
-    s = F.round(F.when(F.col("event_id") % 50 == 0, 1.0).otherwise(F.pow(F.lit(0.5), (F.col("now") - F.col("ts").cast("double")) / half)), 9)
+    s = F.round(F.when(F.col("event_id") % 50 == 0, 1.0).otherwise(F.pow(F.lit(0.5), (F.col("now") - F.col("ts").cast("timestamp").cast("double")) / half)), 9)
     rows = t.events.crossJoin(F.broadcast(newest)).withColumn("s", s)
     return rows.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("s", "event_id")).alias("event_id"), F.round(F.max("s"), 6).alias("salience"))
 
@@ -129,7 +129,7 @@ def joint_state_stream(t: Tables) -> DataFrame:
     """The same fold over a stream of events, its state kept by Spark."""
     folder = live.shared_folder(t.spark)
     events = live.read_stream(t.spark, f"{t.folder}/events.parquet").where("value IS NOT NULL")
-    rows = events.select("user_id", "event_id", F.unix_millis("ts").alias("at_ms"), F.when(F.col("event_type").isin("click", "view"), "a").otherwise("b").alias("channel"), (F.col("value") > 15).alias("speaking"))
+    rows = events.select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.when(F.col("event_type").isin("click", "view"), "a").otherwise("b").alias("channel"), (F.col("value") > 15).alias("speaking"))
     live.append_stream(fold_stream(rows, "user_id", "event_id", folds.joint_state(), "joint string, since_other long"), folder)
     return t.spark.read.parquet(f"{folder}/rows")
 

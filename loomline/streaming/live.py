@@ -25,8 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataFrame:
+    """A table as a stream of its files; ``path`` may be a file or a folder, so it is given as a pattern that fits just it."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def index_live(stream: DataFrame, folder: str) -> None:
@@ -41,7 +42,7 @@ def index_live(stream: DataFrame, folder: str) -> None:
 
 def windowed_counts(stream: DataFrame, folder: str, width: str = "1 day", late: str = "2 days") -> None:
     """Counts and sums per tumbling window and event type; the newest totals replace the table of the batch before."""
-    counts = stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    counts = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.select(F.col("window.start").alias("start"), "event_type", "n", "total").write.mode("overwrite").parquet(f"{folder}/counts")

@@ -1,6 +1,7 @@
 """Run a fold per key: over a batch table, or over a stream with its state kept by Spark.
 
-Batch keys are grouped and ordered whole; a stream's micro-batches are ordered within themselves, as events come.
+Batch rows are partitioned by key and sorted by Spark (which spills), then folded as they stream by: a task holds one
+batch of rows and one state, however many rows a key has. A stream's micro-batches are ordered within themselves.
 """
 
 from __future__ import annotations
@@ -21,14 +22,19 @@ def _columns(schema: str) -> list[str]:
 def fold_batch(rows: DataFrame, key: str, order: str, fold: Fold, out: str) -> DataFrame:
     """(key, order, outputs): ``out`` is the schema of the outputs."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, found = dict(fold.start), []
-        for row in pdf.sort_values(order).to_dict("records"):
-            state, outputs = fold.step(state, row)
-            found += [{key: row[key], order: row[order], **o} for o in outputs]
-        return pd.DataFrame(found, columns=[key, order, *_columns(out)])
-
-    return rows.groupBy(key).applyInPandas(run, f"{key} long, {order} long, {out}")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = object(), dict(fold.start)
+        for pdf in frames:
+            found = []
+            for row in pdf.to_dict("records"):
+                if row[key] != now:
+                    now, state = row[key], dict(fold.start)
+                state, outputs = fold.step(state, row)
+                found += [{key: now, order: row[order], **o} for o in outputs]
+            yield pd.DataFrame(found, columns=[key, order, *_columns(out)])
+
+    ordered = rows.repartition(key).sortWithinPartitions(key, order)
+    return ordered.mapInPandas(run, f"{key} long, {order} long, {out}")
 
 
 def fold_stream(rows: DataFrame, key: str, order: str, fold: Fold, out: str) -> DataFrame:
