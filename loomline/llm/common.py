@@ -40,6 +40,11 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct ``_row``, so that their names can't clash with an operator's own."""
+    return F.struct(*[df[c] for c in df.columns]).alias("_row")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a work table that no lazily evaluated result needs any more."""
     jvm = spark.sparkContext._jvm

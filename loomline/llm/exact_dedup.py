@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import BLANKS, materialize, table
+from loomline.llm.common import BLANKS, materialize, table, whole_row
 
 _BLANK_BYTES = BLANKS.encode()
 _RUN_SCHEMA = pa.schema([("sha", pa.binary()), ("rid", pa.int64()), ("run", pa.int64()), ("n_chars", pa.int64()), ("doc_id", pa.int64()), ("clash", pa.bool_())])
@@ -152,11 +152,10 @@ def _by_text(docs: DataFrame, runs: DataFrame, index: DataFrame, bad: DataFrame,
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The kept rows of ``docs``, all columns unchanged; of rows with equal id and equal normalised text, one."""
-    names = docs.columns
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
     stay = exact_dedup(docs).where("kept").select(F.col("text_sha256").alias("_sha"), F.coalesce(F.col("keep_id"), F.lit(-(1 << 62))).alias("_id"))
-    rows = docs.withColumn("_sha", sha).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))))
-    return rows.join(stay, ["_sha", "_id"], "left_semi").dropDuplicates(["_sha", "_id"]).select(*names)
+    rows = docs.select(whole_row(docs), sha.alias("_sha"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("_id"))
+    return rows.join(stay, ["_sha", "_id"], "left_semi").dropDuplicates(["_sha", "_id"]).select("_row.*")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import bucket_offsets, materialize, table
+from loomline.llm.common import bucket_offsets, materialize, table, whole_row
 
 WEIGHTS, MOST, BLOCK_WORDS, SLOTS_PER_SHARD, MAX_SHARDS, SEED = (5, 2, 1), 3, 128, 1 << 14, 8192, 11
 BUCKETS = 512
@@ -137,16 +137,18 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """
     names = docs.columns
     key = F.xxhash64(*names).alias("_key")
-    number = lambda df: df.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(F.lit(1))))
-    slim = materialize(number(docs.select("doc_id", "source", key, n_words(F.col("text")).alias("_size"))), "sized")
+    number = lambda df, doc_id: df.withColumn("_nth", F.row_number().over(Window.partitionBy(doc_id, "_key").orderBy(F.lit(1))))
+    slim = materialize(number(docs.select("doc_id", "source", key, n_words(F.col("text")).alias("_size")), "doc_id"), "sized")
     rows, taken = mix(slim, seed=seed)
     spans = taken.groupBy("_rid", "epoch").agg(F.sum("n").alias("_got"), F.array_sort(F.collect_list(F.struct("word", "n"))).alias("_spans"))
     spans = rows.join(spans, "_rid").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), F.col("_nth").alias("_n"), "_size", "_got", "_spans")
-    full = number(docs.select("*", key))
-    out = full.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")) & (F.col("_nth") == F.col("_n")))
-    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    full = number(docs.select(whole_row(docs), F.col("doc_id").alias("_own"), key), "_own")
+    out = full.join(spans, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")) & (F.col("_nth") == F.col("_n")))
+    text = F.col("_row.text")
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.array_join(F.flatten(F.transform(F.col("_spans"), lambda s: F.slice(words, (s["word"] + 1).cast("int"), s["n"].cast("int")))), " ")
-    out = out.withColumn("text", F.when(F.col("_got") == F.col("_size"), F.col("text")).otherwise(cut))
+    out = out.select("_row", F.when(F.col("_got") == F.col("_size"), text).otherwise(cut).alias("_new"))
+    new = {"text": F.col("_new")}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*names)
+        new["n_chars"] = F.char_length("_new").cast(dict(docs.dtypes)["n_chars"])
+    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in names])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import materialize, table
+from loomline.llm.common import materialize, table, whole_row
 
 SEED, SHINGLE, DISTANCE, BLOCK = 42, 4, 4, 1024
 
@@ -246,7 +246,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distanc
     roots = components(_jaccard_at_least(pairs, similarity))
     named = slim.join(roots, slim["key"] == roots["node"], "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     stay = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("b")).select(F.col("b.key").alias("_key"))
-    return docs.withColumn("_key", key).join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*names)
+    return docs.select(whole_row(docs), key.alias("_key")).join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
 
 
 def _with_fingerprint(marked: DataFrame, shingle: int) -> DataFrame:

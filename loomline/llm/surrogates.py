@@ -7,7 +7,9 @@ is cut into entities (type, canonical value): a name's parts are entities of the
 Surrogates come from a keyed hash of the entity. They keep type and format: digits, letters, case and script stay in
 their places, card check digits stay valid, address bytes stay in range, names keep the gender of the form of address.
 One table holds each different entity once; a surrogate that meets another one or a real value of its type is drawn
-again until all are distinct, so distinct values stay distinct and equal values stay equal over the whole corpus.
+again until all are distinct, so distinct values stay distinct and equal values stay equal over the whole corpus. A
+format with fewer free values than real ones (one-digit addresses, say) can't give that: after ``ATTEMPTS`` draws the
+last one stays, and two values of that format may share it.
 Only texts with matches are shuffled.
 
 Null texts stay null. Texts without matches are unchanged. Repeated rows get equal surrogates; extra columns are kept.
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import materialize, table
+from loomline.llm.common import materialize, table, whole_row
 
 KEY, ATTEMPTS = "loomline", 12
 
@@ -163,7 +165,8 @@ def draw_surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
 
 def replace_personal_data(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text``, and ``n_replaced``, the number of matches replaced."""
-    names = docs.columns
+    names = [c for c in docs.columns if c != "n_replaced"]
+    docs = docs.select(*names)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hits = docs.select(F.sha2(text, 256).alias("_sha"), F.regexp_extract_all(text, F.lit(PATTERN), 0).alias("_found")).where(F.size("_found") > 0)
     hits = materialize(hits.dropDuplicates(["_sha"]), "matches")
@@ -176,10 +179,12 @@ def replace_personal_data(docs: DataFrame, key: str = KEY) -> DataFrame:
     lists = materialize(lists.where("_n > 0"), "lists")
     has = text.rlike(PATTERN)
     clean = docs.where(~has).select(*names, F.lit(0).cast("long").alias("n_replaced"))
-    rest = docs.where(has).withColumn("_sha", F.sha2(text, 256)).join(lists, "_sha", "left")
-    plain = F.split("text", PATTERN, -1)
+    rest = docs.where(has).select(whole_row(docs), F.sha2(text, 256).alias("_sha")).join(lists, "_sha", "left")
+    old = F.col("_row.text").cast("string")
+    plain = F.split(old, PATTERN, -1)
     filled = F.concat(F.array_join(F.zip_with(F.slice(plain, 1, F.size("_list")), F.col("_list"), lambda a, b: F.concat(a, b)), ""), F.element_at(plain, -1))
-    rest = rest.withColumn("text", F.when(F.col("_list").isNull(), F.col("text")).otherwise(filled)).select(*names, F.coalesce("_n", F.lit(0)).cast("long").alias("n_replaced"))
+    new = F.when(F.col("_list").isNull(), old).otherwise(filled)
+    rest = rest.select(*[(new if c == "text" else F.col("_row")[c]).alias(c) for c in names], F.coalesce("_n", F.lit(0)).cast("long").alias("n_replaced"))
     return clean.unionByName(rest)
 
 

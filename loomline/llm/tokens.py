@@ -81,7 +81,8 @@ class Coder:
                 ask.add(base)
                 split.append((u, base, ""))
         asked = list(ask)
-        plain = [w for w in asked if (w[1:] if w[:1] == "\n" else w).isalpha() and max(w) < "\u0250"]
+        known = "\u0130" if self.words else "\u0250"  # letters below have one lower-case form, which ``_base`` gives
+        plain = [w for w in asked if (w[1:] if w[:1] == "\n" else w).isalpha() and max(w) < known]
         have = dict(zip(plain, map(self._word, plain)))
         asked = [w for w in asked if w not in have]
         have.update(zip(asked, self._encode(self._spaced(asked))))
