@@ -8,6 +8,9 @@ cell, and a pair of blocks is compared in one vectorised step, first by the coun
 tighter lower bound), then exactly. A pair of blocks returns a spanning forest of its links, never all pairs of a
 group. Components come from repeated joins of minima, written as tables between rounds.
 
+The pipeline's stage (``keep_one``) takes no fingerprints: it finds all pairs of texts with a given Jaccard similarity
+of their shingle sets by an exact prefix join.
+
 Null and wordless texts have fingerprint zero and are linked like any other. Repeated rows share a component; rows
 with a null id take part, and a component's id is the smallest id that is not null (null if there is none).
 """
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from loomline.llm.common import materialize, table, whole_row
 
 SEED, SHINGLE, DISTANCE, BLOCK = 42, 4, 4, 1024
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -195,21 +199,81 @@ def near_dedup(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, hashes): the sorted different shingle hashes of each text, as bytes."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted different shingle hashes of a text; a wordless text has the one hash 0."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(1, np.uint64)
+    k = min(shingle, len(words))
+    n = len(words) - k + 1
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    rolled = each[:n].copy()
+    for at in range(1, k):
+        rolled = rolled * MULTIPLIER + each[at : at + n]  # modulo 2**64
+    return np.unique(rolled)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
+def _rarity(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many (text, shingle) pairs fall into each of 2**16 buckets of shingle hashes: of a fixed size."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            sets = []
-            for t in batch.column(1).to_pylist():
-                words = (t or "").encode("utf-8", "surrogatepass").lower().split()
-                k = min(shingle, max(1, len(words)))
-                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)], np.uint64)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "hashes"])
+            for t in batch.column(0).to_pylist():
+                counts += np.bincount(_bucket(shingle_hashes(t, shingle)), minlength=1 << 16)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["bucket", "n"])
+
+    out = np.zeros(1 << 16, np.int64)
+    counted = texts.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    for bucket, n in counted.collect():
+        out[bucket] = n
+    return out
+
 
-    return docs.select("id", F.col("text").cast("string")).mapInArrow(run, "id long, hashes binary")
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(48)).astype(np.int64)
+
+
+def _prefixes(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(id, n, tok, pos): of each set of n shingles the rarest, so many that two sets as similar as ``least`` share one.
+
+    All sets are ordered alike, by the count of a shingle's bucket and then its hash. Any such order is exact; this one
+    leaves shared passages out of the prefixes, as their buckets stand out.
+    """
+    rarity = _rarity(texts, shingle)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                ids, sizes, toks, places = [], [], [], []
+                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    hashes = shingle_hashes(t, shingle)
+                    n = len(hashes)
+                    first = np.lexsort((hashes, rarity[_bucket(hashes)]))[: n - int(np.ceil(least * n - 1e-9)) + 1]
+                    ids.append(np.full(len(first), i, np.int64))
+                    sizes.append(np.full(len(first), n, np.int32))
+                    toks.append(hashes[first].view(np.int64))
+                    places.append(np.arange(len(first), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (ids, sizes, toks, places)], ["id", "n", "tok", "pos"])
+
+    return texts.select("id", F.col("text").cast("string")).mapInArrow(run, "id long, n int, tok long, pos int")
+
+
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, hashes): the sorted different shingle hashes of each text, as bytes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sets = [shingle_hashes(t, shingle).tobytes() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "hashes"])
+
+    return texts.select("id", F.col("text").cast("string")).mapInArrow(run, "id long, hashes binary")
 
 
 def _jaccard_at_least(pairs: DataFrame, least: float) -> DataFrame:
@@ -218,47 +282,67 @@ def _jaccard_at_least(pairs: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for k in range(batch.num_rows):
+                p, q = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= least * max(1, len(p) + len(q) - both) or len(p) == len(q) == 0)
+                keep.append(both >= least * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = 12, block: int = BLOCK) -> DataFrame:
+def similar(texts: DataFrame, least: float, shingle: int) -> DataFrame:
+    """(node, root) as of ``components``, of the links between all texts (id, text) as similar as ``least``.
+
+    Two such texts share a shingle of their prefixes. First each text is compared with three texts per shared shingle
+    (those with the smallest hashes), which joins large groups by few comparisons. Then all pairs of texts that share
+    a shingle and aren't yet in one component are compared, unless the places of the shared shingles rule them out.
+    """
+    prefixes = materialize(_prefixes(texts, shingle, least), "prefixes")
+    shared = prefixes.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
+    members = materialize(prefixes.join(shared, "tok"), "members")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "proposed")
+        ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        sets = materialize(_shingle_sets(texts.join(ends, "id", "left_semi"), shingle).dropDuplicates(["id"]), "sets")
+        joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+        return materialize(_jaccard_at_least(joined, least), "similar")
+
+    fits = lambda m, n: F.least(m, n) >= F.greatest(m, n) * least - 1e-6
+    centres = members.groupBy("tok").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("c"), F.col("n").alias("m"))).alias(f"z{k}") for k in range(3)])
+    stars = members.join(centres, "tok").select("id", "n", F.explode(F.array("z0", "z1", "z2")).alias("z")).where((F.col("id") != F.col("z.c")) & fits(F.col("n"), F.col("z.m")))
+    edges = verified(stars.select(F.least("id", "z.c").alias("a"), F.greatest("id", "z.c").alias("b")).distinct())
+
+    roots = materialize(components(edges), "roots")
+    placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("tok", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
+    # Keys that hold one component only fall out before any rows are paired.
+    many = placed.groupBy("tok").agg((F.min("root") != F.max("root")).alias("many")).where("many").select("tok")
+    placed = materialize(placed.join(many, "tok").distinct(), "placed")
+    held = placed.select("tok", "root").distinct()
+    meet = held.withColumnRenamed("root", "ra").join(held.withColumnRenamed("root", "rb"), "tok").where("ra < rb")
+    side = lambda s: placed.select("tok", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "pos")], F.col("root").alias(f"r{s}"))
+    pairs = meet.join(side("a"), ["tok", "ra"]).join(side("b"), ["tok", "rb"]).where(fits(F.col("na"), F.col("nb")))
+    pairs = pairs.groupBy(F.col("ida").alias("a"), F.col("idb").alias("b")).agg(F.count("*").alias("c"), F.max("posa").alias("i"), F.max("posb").alias("j"), F.first("na").alias("m"), F.first("nb").alias("n"))
+    # No more than the shared shingles so far and the rest after the last of them can be common.
+    most = F.col("c") + F.least(F.col("m") - 1 - F.col("i"), F.col("n") - 1 - F.col("j"))
+    more = verified(pairs.where(most >= (F.col("m") + F.col("n")) * (least / (1 + least)) - 1e-6).select("a", "b"))
+    return components(edges.union(more))
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The documents less near copies: one row of each group stays, that with the smallest id; columns unchanged.
 
-    Fingerprints over ``shingle`` words within ``distance`` bits propose links, closest first, between texts whose
-    sizes allow the similarity; a link holds if the Jaccard similarity of the shingle sets is ``similarity`` or more.
-    Rows equal in all columns are one. Wordless texts are copies of each other.
+    Groups are the components of all pairs of rows whose sets of ``shingle``-word shingles have a Jaccard similarity of
+    ``similarity`` or more; none is missed. Rows equal in all columns are one. Wordless texts are copies of each other.
     """
-    names = docs.columns
-    key = F.xxhash64(*names)
-    size = F.greatest(F.lit(1), F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+")) - (shingle - 1))
-    zone = F.floor(F.log(size.cast("double")) / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
-    slim = materialize(_with_fingerprint(docs.select(key.alias("key"), "doc_id", "text", zone.alias("z")), shingle).distinct(), "nodes")
-    edges = materialize(links(slim.select("fp", F.col("key").alias("id"), "z"), distance, block).distinct(), "proposed")
-    ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(_shingle_sets(docs.select(key.alias("id"), "text").join(ends, "id", "left_semi").dropDuplicates(["id"]), shingle), "sets")
-    pairs = edges.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-    roots = components(_jaccard_at_least(pairs, similarity))
+    key = F.xxhash64(*docs.columns)
+    roots = similar(docs.select(key.alias("id"), "text"), similarity, shingle)
+    slim = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id")).distinct()
     named = slim.join(roots, slim["key"] == roots["node"], "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     stay = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("b")).select(F.col("b.key").alias("_key"))
     return docs.select(whole_row(docs), key.alias("_key")).join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
 
 
-def _with_fingerprint(marked: DataFrame, shingle: int) -> DataFrame:
-    """(key, doc_id, z, fp) from rows (key, doc_id, text, z)."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(fps)], ["key", "doc_id", "z", "fp"])
-
-    return marked.select("key", F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("z").cast("int")).mapInArrow(run, "key long, doc_id long, z int, fp long")
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
