@@ -49,3 +49,21 @@ def test_copy_with_a_repeated_passage(spark):
     w = [f"w{i}" for i in range(200)]
     texts = [" ".join(w), " ".join(w + w[:150] * 4), "\t\n" + " ".join(w[:5]), " ".join(w[:5])]
     assert _kept(texts) == [0, 2] == _got(spark, texts)
+
+
+def test_families_that_share_passages(spark):
+    rng, texts = random.Random(5), []
+    say = lambda n: [f"w{rng.randrange(50000)}" for _ in range(n)]
+    for _ in range(6):
+        base = say(150)  # shared by the family, which is alike at 0.6 to 0.8 and more
+        for _ in range(15):
+            own = base + say(rng.randint(15, 45))
+            texts.append(" ".join(own))
+            if rng.random() < 0.5:
+                copy = list(own)
+                for at in rng.sample(range(len(copy)), rng.randint(1, 4)):
+                    copy[at] = f"x{rng.randrange(50000)}"
+                texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    expected = _kept(texts)
+    assert 10 < len(expected) < len(texts) - 10 and _got(spark, texts) == expected
