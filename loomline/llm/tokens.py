@@ -67,10 +67,10 @@ class Coder:
     def _learn(self, need: set[str]) -> None:
         """Put pieces into ``young``: from ``old``, or from their word and the marks after it, or by the tokenizer."""
         old, young, ask, split = self.old, self.young, set(), []
-        for u in need:
-            if (code := old.get(u)) is not None:
-                young[u] = code
-            elif u[-1:] in _MARK_SIGNS and (m := _MARKS.fullmatch(u)):
+        held = {u: code for u in need if (code := old.get(u)) is not None}
+        young.update(held)
+        for u in need.difference(held):
+            if u[-1:] in _MARK_SIGNS and (m := _MARKS.fullmatch(u)):
                 base, tail = self._base(m[1]) if self.words else m[1], m[2]
                 split.append((u, base, tail))
                 if base not in young and base not in old:
@@ -82,7 +82,7 @@ class Coder:
                 split.append((u, base, ""))
         asked = list(ask)
         known = "\u0130" if self.words else "\u0250"  # letters below have one lower-case form, which ``_base`` gives
-        plain = [w for w in asked if (w[1:] if w[:1] == "\n" else w).isalpha() and max(w) < known]
+        plain = [w for w in asked if (w[1:] if w[:1] == "\n" else w).isalpha() and (w.isascii() or max(w) < known)]
         have = dict(zip(plain, map(self._word, plain)))
         asked = [w for w in asked if w not in have]
         have.update(zip(asked, self._encode(self._spaced(asked))))
@@ -94,16 +94,14 @@ class Coder:
 
     def _base(self, word: str) -> str:
         """The form under which a word is asked for; lower case where the tokenizer lowers, for letters that have one form."""
-        return word.lower() if self.words and word and max(word) < "\u0130" else word
+        return word.lower() if self.words and (word.isascii() or max(word) < "\u0130") else word
 
     def _word(self, word: str) -> bytes:
         """Ids of a word of Latin letters, after a space: one piece, so the tokenizer's model takes it as it is."""
         piece = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
         if word[0] == "\n":
-            ids = [self.line_feed, *[t.id for t in self.model.tokenize(piece[1:])]]
-        else:
-            ids = [t.id for t in self.model.tokenize(piece if self.words else "\u0120" + piece)]
-        return array(self.code, ids).tobytes()
+            return array(self.code, [self.line_feed, *[t.id for t in self.model.tokenize(piece[1:])]]).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(piece if self.words else "\u0120" + piece)]).tobytes()
 
     def _spaced(self, units: list[str]) -> list[str]:
         return units if self.words else [u if u[:1] == "\n" else " " + u for u in units]

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 from loomline.llm import exact_dedup, html_main, mixing, packing, repetition, sharding, simhash, surrogates, tokens, warc, wavelet
-from loomline.llm.common import BLANKS, new_path
+from loomline.llm.common import BLANKS, materialize, new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, _row string, _key string, label string, _size long"
 
@@ -225,16 +225,21 @@ def test_packing(docs, rows, coders):
 
 def test_wavelet_matrix_and_shards(spark, docs, rows, coders):
     ids = np.random.default_rng(2).integers(0, 900, 3000).astype("<u2")
-    matrix, doc_ids, starts = wavelet.from_bytes(wavelet.to_bytes(ids, [4, None], np.array([0, 1000]), 16))
-    assert doc_ids == [4, None] and starts.tolist() == [0, 1000] and (matrix.sequence() == ids).all()
+    shard = wavelet.Shard(wavelet.to_bytes(ids, [4, None], np.array([0, 1000]), 16, 1))
+    matrix = shard.matrix
+    assert shard.doc_ids == [4, None] and shard.starts.tolist() == [0, 1000] and (matrix.sequence() == ids).all()
     assert (matrix.access(np.arange(3000)) == ids).all()
     for v in (0, 5, 899, 60000):
         assert matrix.rank(v) == (ids == v).sum() and matrix.rank(v, 700) == (ids[:700] == v).sum() and matrix.select(v).tolist() == np.flatnonzero(ids == v).tolist()
     folder = new_path(spark, "shards")
-    manifest = wavelet.write_shards(docs, folder, shard_tokens=700).collect()
-    assert len(manifest) > 3
-    got = sorted(wavelet.read_shards(spark, folder, manifest).collect(), key=lambda r: r["start"])
+    manifest = materialize(wavelet.write_shards(docs, folder, shard_tokens=700), "manifest")
+    assert manifest.count() > 3
+    got = sorted(wavelet.read_shards(manifest, folder).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is None, i or 0))
+    ends = sorted(p for r in wavelet.occurrences(manifest, folder, 1).collect() for p in r["places"])
+    assert ends == [r["start"] + len(r["ids"]) // 4 - 1 for r in got]
+    facts = {(r["doc_id"], r["start"]): (r["n_tokens"], r["ids_crc32"]) for r in wavelet.digests(manifest, folder).collect()}
+    assert facts == {(r["doc_id"], r["start"]): (len(r["ids"]) // 4, zlib.crc32(r["ids"])) for r in got}
     at, texts = 0, {r[0]: r[1] or "" for r in rows}
     for r in got:
         ids = np.frombuffer(r["ids"], "<u4").tolist()
@@ -242,6 +247,16 @@ def test_wavelet_matrix_and_shards(spark, docs, rows, coders):
         at += len(ids)
 
 
+@pytest.mark.parametrize("n", [0, 1, 63, 511, 512, 513, 5000])
+def test_wavelet_planes(n):
+    rng = np.random.default_rng(n)
+    for bit in (rng.random(n) < 0.3, np.zeros(n, bool), np.ones(n, bool)):
+        plane, at = wavelet.Plane.build(bit), np.arange(n + 1)
+        assert plane.rank(at).tolist() == np.concatenate([[0], np.cumsum(bit)]).tolist() and (plane.bits() == bit).all()
+        assert plane.select(np.arange(bit.sum()), True).tolist() == np.flatnonzero(bit).tolist()
+        assert plane.select(np.arange(n - bit.sum()), False).tolist() == np.flatnonzero(~bit).tolist()
+
+
 def _fingerprint(text):
     words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()]
     if not words:
@@ -303,10 +318,10 @@ def test_surrogates(spark):
         "token=abcdEFGH12345678xyz at 10.0.200.17", "SSN 123-45-6789; Mrs. Clara BERG", "Г-н Иванов пишет", "plain words, nothing else", None, "",
     ]
     docs = spark.createDataFrame([(i, t, "r", 9) for i, t in enumerate(texts)], "doc_id long, text string, _row string, n_replaced long")
-    got = {r["doc_id"]: r for r in surrogates.replace_personal_data(docs).collect()}
-    assert len(got) == len(texts) and all(r["_row"] == "r" for r in got.values())
+    got = {r["doc_id"]: r for r in surrogates.replace_personal_data(docs, b"k").collect()}
+    assert len(got) == len(texts) and all(r["_row"] == "r" and r["n_replaced"] == 9 for r in got.values())
     for i in (6, 7, 8):
-        assert got[i]["text"] == texts[i] and got[i]["n_replaced"] == 0
+        assert got[i]["text"] == texts[i] and got[i]["n_replaced_"] == 0
     for gone in ("Anton", "anton.berg", "1234567", "4111 1111 1111 1111", "abcdEFGH12345678xyz", "10.0.200.17", "123-45-6789", "Clara", "BERG", "Иванов"):
         assert not any(gone in (r["text"] or "") for r in got.values())
     assert "4111 1111 1111 1112" in got[2]["text"]  # no valid card number
@@ -317,12 +332,12 @@ def test_surrogates(spark):
     assert all("Ѐ" <= c <= "ӿ" for c in got[5]["text"].split()[1])
     digits = [int(c) for c in got[2]["text"].split(",")[0] if c.isdigit()]
     assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
-    assert Counter(map(tuple, got.values())) == Counter(map(tuple, surrogates.replace_personal_data(docs).collect()))
+    assert Counter(map(tuple, got.values())) == Counter(map(tuple, surrogates.replace_personal_data(docs, b"k").collect()))
 
 
 def test_surrogates_stay_distinct(spark):
     found = spark.range(900).selectExpr("'ssn' AS kind", "lpad(string(1000000 + (id % 450) * 1237), 7, '0') AS canon").union(spark.sql("SELECT 'ip', '1.2.3.4'"))
-    made = surrogates.draw_surrogates(found).where("kind = 'ssn'").collect()
+    made = surrogates.draw_surrogates(found, b"k").where("kind = 'ssn'").collect()
     assert len(made) == 450 == len({r["made"] for r in made}) and not {r["made"] for r in made} & {r["canon"] for r in made}
 
 
@@ -365,9 +380,9 @@ def test_empty_tables(spark, empty):
     assert exact_dedup.exact_dedup(empty).count() == exact_dedup.keep_first(empty).count() == 0
     assert repetition.repetition_rules(empty).count() == repetition.keep_unrepetitive(empty).count() == 0
     assert sharding.balanced_shards(empty).count() == mixing.mixed_documents(empty).count() == packing.pack(empty).count() == 0
-    assert simhash.near_dedup(empty).count() == simhash.keep_one(empty).count() == surrogates.replace_personal_data(empty).count() == 0
+    assert simhash.near_dedup(empty).count() == simhash.keep_one(empty).count() == surrogates.replace_personal_data(empty, b"k").count() == 0
     folder = new_path(spark, "shards")
-    assert wavelet.read_shards(spark, folder, wavelet.write_shards(empty, folder).collect()).count() == 0
+    assert wavelet.read_shards(materialize(wavelet.write_shards(empty, folder), "manifest"), folder).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_main.main_text(pages).count() == 0
     path = new_path(spark, "warc")
