@@ -3,16 +3,19 @@
 Fingerprints are 64 bits over 4-word shingles. A fingerprint is embedded as the bit counts of its segments; the
 Manhattan distance of two embeddings is never above the Hamming distance of the fingerprints. The different
 fingerprints (copies are gathered first) are laid out in a grid of 16-bit segment counts. Cells whose centres are
-within the threshold in Manhattan distance are joined, in blocks: a block holds at most ``block`` fingerprints of one
+within the threshold in Manhattan distance are joined, in blocks: a block holds about ``block`` fingerprints of one
 cell, and a pair of blocks is compared in one vectorised step, first by the counts of finer segments (8 bits, a
 tighter lower bound), then exactly. A pair of blocks returns a spanning forest of its links, never all pairs of a
-group. Components come from repeated joins of minima, written as tables between rounds.
+group. Components come from repeated joins of minima, written as tables between rounds, up to the fixed point.
 
-The pipeline's stage (``keep_one``) takes no fingerprints: it finds all pairs of texts with a given Jaccard similarity
-of their shingle sets by an exact prefix join.
+``keep_one`` drops near copies: the links of the fingerprints (of five-word shingles) propose pairs, the Jaccard
+similarity of the whole shingle sets decides. Fingerprints alone miss pairs near the threshold, so an exact prefix
+join proposes all pairs that are left; none with the similarity asked for is missed.
 
-Null and wordless texts have fingerprint zero and are linked like any other. Repeated rows share a component; rows
-with a null id take part, and a component's id is the smallest id that is not null (null if there is none).
+Null and wordless texts have fingerprint zero and are linked like any other; a very long text costs 16 bytes a word.
+Repeated rows share a component; rows with a null id take part, and a component's id is the smallest id that is not
+null (null if there is none). An empty table gives an empty result. ``near_dedup`` ignores other columns, whatever
+their names; ``keep_one`` keeps them.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from loomline.llm.common import materialize, table, whole_row
 
 SEED, SHINGLE, DISTANCE, BLOCK = 42, 4, 4, 1024
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_WORDS = [f"w{k}" for k in range(8)]
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -64,47 +68,34 @@ def _segments(fp, bits: int) -> list:
     return [F.bit_count(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit(mask))) for at in range(0, 64, bits)]
 
 
-def _offsets(distance: int, width: int, zones: int) -> list[tuple[int, ...]]:
+def _offsets(distance: int, width: int) -> list[tuple[int, ...]]:
     """Steps between grid cells that points within the distance can lie in: one of each two opposite steps, and none."""
     cost = lambda d: 0 if d == 0 else width * (abs(d) - 1) + 1  # noqa: E731  least distance of points so many cells apart
     reach = [d for d in range(-(16 // width) - 1, 16 // width + 2) if cost(d) <= distance]
     steps: list[tuple[int, ...]] = [()]
     for _ in range(4):
         steps = [(*s, d) for s in steps for d in reach if sum(map(cost, s)) + cost(d) <= distance]
-    return [(*s, z) for s in steps for z in range(-zones, zones + 1) if (*s, z) >= (0, 0, 0, 0, 0)]
+    return [s for s in steps if s >= (0, 0, 0, 0)]
 
 
 def _forest(x: np.ndarray, y: np.ndarray, distance: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places in x and y of a spanning forest of the links between two blocks (or inside one), closest links first."""
+    """Places in x and y of a spanning forest of the links between two blocks (or inside one)."""
     fine = lambda v: np.bitwise_count(np.ascontiguousarray(v).view(np.uint8).reshape(-1, 8)).astype(np.int8)
-    bounded = distance < 8  # the finer lower bound pays while it rules out most pairs
-    fx, fy = (fine(x), fine(y)) if bounded else (None, None)
-    found_i, found_j, found_d = [], [], []
+    fx, fy = fine(x), fine(y)
+    found_i, found_j = [], []
     for at in range(0, len(x), 64):
         some = x[at : at + 64]
-        if bounded:
-            bound = np.zeros((len(some), len(y)), np.int16)
-            for k in range(8):
-                bound += np.abs(fx[at : at + 64, None, k] - fy[None, :, k])
-            i, j = np.nonzero(bound <= distance)
-            apart = np.bitwise_count(some[i] ^ y[j])
-            hit = apart <= distance
-            i, j, apart = i[hit], j[hit], apart[hit]
-        else:
-            every = np.bitwise_count(some[:, None] ^ y[None, :])
-            i, j = np.nonzero(every <= distance)
-            apart = every[i, j]
+        bound = np.zeros((len(some), len(y)), np.int16)
+        for k in range(8):
+            bound += np.abs(fx[at : at + 64, None, k] - fy[None, :, k])
+        i, j = np.nonzero(bound <= distance)
+        hit = np.bitwise_count(some[i] ^ y[j]) <= distance
         if same:
-            hit = at + i < j
-            i, j, apart = i[hit], j[hit], apart[hit]
-        found_i.append(at + i)
-        found_j.append(j)
-        found_d.append(apart)
-    i, j, apart = (np.concatenate(v) for v in (found_i, found_j, found_d))
-    if not len(i):
-        return i, j
+            hit &= at + i < j
+        found_i.append(at + i[hit])
+        found_j.append(j[hit])
+    i, j = np.concatenate(found_i), np.concatenate(found_j)
     shift = 0 if same else len(x)
-    order = np.argsort(apart, kind="stable")
     parent = list(range(len(x) + shift + len(y)))
 
     def root(a: int) -> int:
@@ -114,7 +105,7 @@ def _forest(x: np.ndarray, y: np.ndarray, distance: int, same: bool) -> tuple[np
         return a
 
     keep = []
-    for n, a, b in zip(order.tolist(), i[order].tolist(), (j[order] + shift).tolist()):
+    for n, (a, b) in enumerate(zip(i.tolist(), (j + shift).tolist())):
         ra, rb = root(a), root(b)
         if ra != rb:
             parent[ra] = rb
@@ -123,21 +114,17 @@ def _forest(x: np.ndarray, y: np.ndarray, distance: int, same: bool) -> tuple[np
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """(a, b): ids of linked nodes (fp, id, z); components are those of all pairs within the distance and |z - z'| <= 1.
-
-    Give every node the same z to link by fingerprints alone.
-    """
+    """(a, b): ids of linked nodes (fp, id); their components are those of all pairs within the distance."""
     width = max(1, distance - 3)
-    keys = ["c0", "c1", "c2", "c3", "z"]
-    cells = nodes.select("fp", "id", "z", *[F.floor(x / width).cast("int").alias(f"c{k}") for k, x in enumerate(_segments(F.col("fp"), 16))])
+    keys = ["c0", "c1", "c2", "c3"]
+    cells = nodes.select("fp", "id", *[F.floor(x / width).cast("int").alias(f"c{k}") for k, x in enumerate(_segments(F.col("fp"), 16))])
     # Blocks by a hash: a crowded cell is cut into even shares, and no task gathers a cell.
     sizes = cells.groupBy(*keys).agg(F.count("*").alias("n"))
-    cells = cells.join(F.broadcast(sizes), keys)  # 17**4 cells at most, times the zones
+    cells = cells.join(F.broadcast(sizes), keys)  # 17**4 cells at most
     cells = cells.withColumn("blk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)).cast("int"))
     blocks = materialize(cells.groupBy(*keys, "blk").agg(F.collect_list("fp").alias("fps"), F.collect_list("id").alias("ids")), "blocks")
-    zones = 0 if blocks.agg(F.min("z") == F.max("z")).first()[0] is not False else 1
     # Which blocks meet is found by their numbers alone; the fingerprints follow.
-    steps = F.array(*[F.struct(*[F.lit(v).alias(f"d{k}") for k, v in enumerate(o)]) for o in _offsets(distance, width, zones)])
+    steps = F.array(*[F.struct(*[F.lit(v).alias(f"d{k}") for k, v in enumerate(o)]) for o in _offsets(distance, width)])
     names = blocks.select(*keys, "blk")
     near = names.withColumn("s", F.explode(steps)).select(F.col("blk").alias("lblk"), *[F.col(k).alias(f"l{k}") for k in keys], *[(F.col(k) + F.col(f"s.d{n}")).cast("int").alias(k) for n, k in enumerate(keys)])
     here = F.lit(True)
@@ -162,14 +149,15 @@ def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Dat
     return pairs.mapInArrow(compare, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge, root the smallest node reachable (large-star and small-star rounds).
 
     Each round replaces edges by edges to minima; hubs are aggregated before they are joined, and Spark splits the
-    skewed side of the joins. Every round is a written table.
+    skewed side of the joins. Every round is a written table; rounds end when one changes nothing, after a number that
+    grows with the logarithm of the longest path.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: neighbours above a node hang on its minimum
@@ -180,18 +168,16 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         after = materialize(small.where("a <> b").distinct(), "edges")
         mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        same = mark(after) == mark(edges)
+        if mark(after) == mark(edges):
+            return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
         edges = after
-        if same:
-            break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_dedup(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
     marked = materialize(fingerprints(docs, shingle), "fingerprints")
     groups = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "groups")
-    edges = links(groups.select("fp", F.col("fp").alias("id"), F.lit(0).alias("z")), distance, block)
+    edges = links(groups.select("fp", F.col("fp").alias("id")), distance, block)
     roots = components(edges)
     named = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -237,8 +223,16 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(48)).astype(np.int64)
 
 
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """512 bits, as 8 numbers: which of 512 classes hold an odd number of the hashes. Where two sets differ in d hashes,
+    their bits differ in d places at most."""
+    odd = np.bincount((hashes >> np.uint64(7) & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
+
+
 def _prefixes(texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(id, n, tok, pos): of each set of n shingles the rarest, so many that two sets as similar as ``least`` share one.
+    """(id, n, toks, w0 to w7): of each set of n shingles the rarest, so many that two sets as similar as ``least``
+    share one, and the set's parity bits.
 
     All sets are ordered alike, by the count of a shingle's bucket and then its hash. Any such order is exact; this one
     leaves shared passages out of the prefixes, as their buckets stand out.
@@ -249,18 +243,18 @@ def _prefixes(texts: DataFrame, shingle: int, least: float) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                ids, sizes, toks, places = [], [], [], []
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sizes, toks, bits = [], [], []
+                for t in batch.column(1).to_pylist():
                     hashes = shingle_hashes(t, shingle)
                     n = len(hashes)
-                    first = np.lexsort((hashes, rarity[_bucket(hashes)]))[: n - int(np.ceil(least * n - 1e-9)) + 1]
-                    ids.append(np.full(len(first), i, np.int64))
-                    sizes.append(np.full(len(first), n, np.int32))
-                    toks.append(hashes[first].view(np.int64))
-                    places.append(np.arange(len(first), dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (ids, sizes, toks, places)], ["id", "n", "tok", "pos"])
+                    toks.append(hashes[np.lexsort((hashes, rarity[_bucket(hashes)]))[: n - int(np.ceil(least * n - 1e-9)) + 1]].view(np.int64))
+                    sizes.append(n)
+                    bits.append(_parity(hashes))
+                ends = np.cumsum([0, *map(len, toks)]).astype(np.int32)
+                words = np.stack(bits, axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(toks)), *map(pa.array, words)], ["id", "n", "toks", *_WORDS])
 
-    return texts.select("id", F.col("text").cast("string")).mapInArrow(run, "id long, n int, tok long, pos int")
+    return texts.select("id", F.col("text").cast("string")).mapInArrow(run, "id long, n int, toks array<long>, " + ", ".join(f"{w} long" for w in _WORDS))
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -291,42 +285,49 @@ def _jaccard_at_least(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar(texts: DataFrame, least: float, shingle: int) -> DataFrame:
+def similar(texts: DataFrame, least: float, shingle: int, distance: int = DISTANCE) -> DataFrame:
     """(node, root) as of ``components``, of the links between all texts (id, text) as similar as ``least``.
 
-    Two such texts share a shingle of their prefixes. First each text is compared with three texts per shared shingle
-    (those with the smallest hashes), which joins large groups by few comparisons. Then all pairs of texts that share
-    a shingle and aren't yet in one component are compared, unless the places of the shared shingles rule them out.
+    First the cheap proposals: texts whose fingerprints are equal or linked in the grid, and each text with three texts
+    per shared shingle of its prefix (those with the smallest hashes), which joins large groups by few comparisons.
+    Then all pairs of texts that share a prefix shingle and aren't yet in one component, unless the first shared place
+    or the parity bits rule them out. Every proposal is decided by the whole sets.
     """
     prefixes = materialize(_prefixes(texts, shingle, least), "prefixes")
-    shared = prefixes.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
-    members = materialize(prefixes.join(shared, "tok"), "members")
+    tokens = prefixes.select("id", "n", F.posexplode("toks").alias("pos", "tok"))
+    shared = tokens.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
+    members = materialize(tokens.join(shared, "tok"), "members")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "proposed")
         ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = materialize(_shingle_sets(texts.join(ends, "id", "left_semi"), shingle).dropDuplicates(["id"]), "sets")
+        sets = materialize(_shingle_sets(texts.join(ends, "id", "left_semi"), shingle), "sets")
         joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
         return materialize(_jaccard_at_least(joined, least), "similar")
 
+    marked = materialize(fingerprints(texts.select(F.col("id").alias("doc_id"), "text"), shingle), "fingerprints")
+    groups = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "groups")
+    linked = links(groups, distance)
+    equal = marked.join(groups, "fp").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    total = lambda m, n: (F.col(m) + F.col(n)) / (1 + least)  # noqa: E731  shingles that two sets can have in all
     fits = lambda m, n: F.least(m, n) >= F.greatest(m, n) * least - 1e-6
     centres = members.groupBy("tok").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("c"), F.col("n").alias("m"))).alias(f"z{k}") for k in range(3)])
-    stars = members.join(centres, "tok").select("id", "n", F.explode(F.array("z0", "z1", "z2")).alias("z")).where((F.col("id") != F.col("z.c")) & fits(F.col("n"), F.col("z.m")))
-    edges = verified(stars.select(F.least("id", "z.c").alias("a"), F.greatest("id", "z.c").alias("b")).distinct())
+    stars = members.join(centres, "tok").select("id", "n", F.explode(F.array("z0", "z1", "z2")).alias("z")).where(fits(F.col("n"), F.col("z.m"))).select(F.col("id").alias("a"), F.col("z.c").alias("b"))
+    proposed = stars.union(linked).union(equal).where("a <> b")
+    edges = verified(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    roots = materialize(components(edges), "roots")
-    placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("tok", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
+    roots = components(edges).withColumnRenamed("node", "id")
+    info = materialize(prefixes.select("id", *_WORDS).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "roots")
+    placed = members.join(info, "id")
     # Keys that hold one component only fall out before any rows are paired.
     many = placed.groupBy("tok").agg((F.min("root") != F.max("root")).alias("many")).where("many").select("tok")
-    placed = materialize(placed.join(many, "tok").distinct(), "placed")
-    held = placed.select("tok", "root").distinct()
-    meet = held.withColumnRenamed("root", "ra").join(held.withColumnRenamed("root", "rb"), "tok").where("ra < rb")
-    side = lambda s: placed.select("tok", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "pos")], F.col("root").alias(f"r{s}"))
-    pairs = meet.join(side("a"), ["tok", "ra"]).join(side("b"), ["tok", "rb"]).where(fits(F.col("na"), F.col("nb")))
-    pairs = pairs.groupBy(F.col("ida").alias("a"), F.col("idb").alias("b")).agg(F.count("*").alias("c"), F.max("posa").alias("i"), F.max("posb").alias("j"), F.first("na").alias("m"), F.first("nb").alias("n"))
-    # No more than the shared shingles so far and the rest after the last of them can be common.
-    most = F.col("c") + F.least(F.col("m") - 1 - F.col("i"), F.col("n") - 1 - F.col("j"))
-    more = verified(pairs.where(most >= (F.col("m") + F.col("n")) * (least / (1 + least)) - 1e-6).select("a", "b"))
+    placed = materialize(placed.join(many, "tok"), "placed")
+    side = lambda s: placed.select(*[F.col(c).alias(f"{c}{s}") for c in ("tok", "id", "n", "pos", "root", *_WORDS)])
+    apart = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in _WORDS), F.lit(0))
+    # Where a pair's first common shingle stands, all its common ones stand from there on; parity bits show differences.
+    possible = fits(F.col("na"), F.col("nb")) & (F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= total("na", "nb") * least - 1e-6) & (apart <= total("na", "nb") * (1 - least) + 1e-6)
+    pairs = side("a").join(side("b"), (F.col("toka") == F.col("tokb")) & (F.col("roota") < F.col("rootb")) & possible)
+    more = verified(pairs.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct())
     return components(edges.union(more))
 
 
@@ -334,14 +335,18 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     """The documents less near copies: one row of each group stays, that with the smallest id; columns unchanged.
 
     Groups are the components of all pairs of rows whose sets of ``shingle``-word shingles have a Jaccard similarity of
-    ``similarity`` or more; none is missed. Rows equal in all columns are one. Wordless texts are copies of each other.
+    ``similarity`` or more; none is missed. Rows equal in all columns are copies. Wordless texts are copies of each
+    other. Rows are written once with a number of their own, by which they are known; null ids come last.
     """
-    key = F.xxhash64(*docs.columns)
-    roots = similar(docs.select(key.alias("id"), "text"), similarity, shingle)
-    slim = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    named = slim.join(roots, slim["key"] == roots["node"], "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
-    stay = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("b")).select(F.col("b.key").alias("_key"))
-    return docs.select(whole_row(docs), key.alias("_key")).join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
+    rows = materialize(docs.select(whole_row(docs)).withColumn("_number", F.monotonically_increasing_id()), "numbered")
+    number, doc_id = F.col("_number"), F.col("_row.doc_id").cast("long")
+    roots = similar(rows.select(number.alias("id"), F.col("_row.text").alias("text")), similarity, shingle)
+    # Only rows with links are looked at: roots themselves and the rows that hang on them.
+    grouped = materialize(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), "grouped")
+    named = rows.select(number.alias("node"), doc_id.alias("doc_id")).join(grouped, "node")
+    stay = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "node")).alias("b")).select("root", F.col("b.node").alias("stays"))
+    gone = materialize(grouped.join(stay, "root").where("node <> stays").select(F.col("node").alias("_number")), "gone")
+    return rows.join(gone, "_number", "left_anti").select("_row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
