@@ -125,14 +125,6 @@ def similarity_join(t: Tables) -> DataFrame:
     return shared.where(F.col("k") / F.least("n", "m") >= 0.6).groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
 
 
-@query("i28_question_similarity", rf"""WITH w AS (SELECT item_id, {_WORDS} AS w FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(greatest(len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE), 0.9 * len(list_intersect(a.w, b.w)) / len(a.w)), 6) AS similarity FROM w a JOIN w b ON b.item_id = a.item_id + 1""")
-def question_similarity(t: Tables) -> DataFrame:
-    words = t.benchmark.select("item_id", text.overlap_words(F.col("text"), _STOP).alias("w"))
-    pairs = words.select(F.col("item_id").alias("a"), F.col("w").alias("wa")).join(words.select((F.col("item_id") - 1).alias("a"), F.col("item_id").alias("b"), F.col("w").alias("wb")), "a")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    return pairs.select("a", "b", F.round(F.greatest(scores.jaccard(F.col("wa"), F.col("wb")), 0.9 * shared / F.size("wa")), 6).alias("similarity"))
-
-
 @query("g5_two_hop", """WITH e AS (SELECT l_suppkey AS src, l_partkey + 1000000 AS dst, min(l_orderkey) AS rel FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1, 2), b AS (SELECT src, dst, rel FROM e UNION ALL SELECT dst, src, rel FROM e),
 h1 AS (SELECT dst AS node, min(rel) AS rel FROM b WHERE src = 5 AND dst <> 5 GROUP BY 1), h2 AS (SELECT b.dst AS node, min(b.rel) AS rel FROM b JOIN h1 ON b.src = h1.node WHERE b.dst <> 5 AND b.dst NOT IN (SELECT node FROM h1) GROUP BY 1)
 SELECT node, 1 AS depth, rel FROM h1 UNION ALL SELECT node, 2, rel FROM h2""")

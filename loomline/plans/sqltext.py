@@ -22,3 +22,23 @@ def bm25(terms: list[str], k1: float = 1.5, b: float = 0.75) -> str:
 
 SEGMENTS = """lines AS (SELECT conv_id, turn, role AS speaker, i AS line, string_split(text, chr(10))[i] AS text FROM conversations, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
 segments AS (SELECT conv_id, seq, speaker, text, seq * 4000 + CASE WHEN seq % 5 = 4 THEN 2000 ELSE 0 END AS timestamp_ms FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, line) - 1 AS seq FROM lines WHERE text <> ''))"""
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def listed(values: list[str]) -> str:
+    return "[" + ", ".join(map(quoted, values)) + "]"
+
+
+def matches(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, {quoted(pattern)})"
+
+
+def found(column: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({column}, {quoted(pattern)}))"
+
+
+def first_match(column: str, rules: list[tuple[str, str]], default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {matches(column, p)} THEN '{name}'" for name, p in rules) + f" ELSE {default} END"
