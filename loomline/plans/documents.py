@@ -134,11 +134,6 @@ def two_hop(t: Tables) -> DataFrame:
     return graph.expand(relations, start)
 
 
-@query("c12_edge_join", "SELECT node, count(*) AS degree FROM (SELECT n_nationkey AS node FROM nation UNION ALL SELECT n_regionkey + 100 FROM nation) GROUP BY node")
-def edge_join(t: Tables) -> DataFrame:
-    return graph.degrees(t.nation.select(F.col("n_nationkey").alias("rel"), F.col("n_nationkey").alias("src"), (F.col("n_regionkey") + 100).alias("dst")))
-
-
 @query("i36_entity_rollup", r"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS name FROM documents WHERE lang = 'en') SELECT lower(name) AS slug, min(name) AS name, count(DISTINCT doc_id) AS cards FROM e GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3""")
 def entity_rollup(t: Tables) -> DataFrame:
     names = t.documents.where("lang = 'en'").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), 0)).alias("name"))

@@ -235,12 +235,6 @@ def scope_boost(t: Tables) -> DataFrame:
     return _six(rows.join(F.broadcast(best), "label", "left").select("doc_id", (F.col("semantic") * F.when(F.col("hit"), 1.2).otherwise(1.0)).alias("score")), "score")
 
 
-@query("h22_rerank", f"WITH {_LEX}, {_SEM}, {_FUSED} SELECT doc_id, round(1 / (1 + exp(-((doc_id * 37) % 11 - 5))), 6) AS rerank FROM fused WHERE score >= 0.3")
-def rerank(t: Tables) -> DataFrame:
-    """Rerank logits are an input; here a fixed function of the id."""
-    return _six(_fused(t).where("score >= 0.3").select("doc_id", scores.sigmoid(((F.col("doc_id") * 37) % 11 - 5).cast("double")).alias("rerank")), "rerank")
-
-
 @query("h23_question_gate", f"""SELECT doc_id FROM (SELECT doc_id, list_distinct({sqltext.tokens('text')}) AS w FROM documents) WHERE len(list_filter({sorted(set(TERMS))}, lambda q: len(list_filter(w, lambda x: x = q OR (length(q) >= 5 AND length(x) >= 5 AND left(q, 4) = left(x, 4)))) > 0)) * 2 > {len(set(TERMS))}""")
 def question_gate(t: Tables) -> DataFrame:
     q = F.array(*[F.lit(x) for x in sorted(set(TERMS))])

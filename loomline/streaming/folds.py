@@ -163,3 +163,63 @@ def compact_log(most: int = 1800, fold: int = 500, keep_markers: int = 5) -> Fol
         return {"held": held, "markers": markers}, [{"held": held, "markers": markers}]
 
     return Fold({"held": 0, "markers": 0}, step)
+
+
+INTERIM_CHARS, INTERIM_AGE_MS, ANCHOR_WORDS = 1200, 30_000, 8  # fixed values
+
+
+def interim_novelty(interim: str, finals: list[str], age_ms: int) -> tuple[str, str]:
+    """(inject or why not, text): what follows the last words of the newest final found in an interim text.
+
+    Without such an anchor the text itself, or its last 1,200 characters from a word on. Anchors are the last eight
+    words, at least three with ten letters in all, of ten finals.
+    """
+    text = interim.strip()
+    if not text:
+        return "empty", ""
+    if age_ms > INTERIM_AGE_MS:
+        return "stale", ""
+    if finals and finals[-1] == interim:
+        return "duplicate", ""
+    words = lambda t: [(m[0].lower().replace("'", ""), m.end()) for m in re.finditer(r"[^\W_]+(?:'[^\W_]*)*|'+", t)]
+    mine = words(text)
+    if not mine:
+        return "empty", ""
+    for final in reversed(finals[-10:]):
+        anchor = [w for w, _ in words(final)][-ANCHOR_WORDS:]
+        if len(anchor) < 3 or len("".join(anchor)) < 10:
+            continue
+        for at in range(len(mine) - len(anchor), -1, -1):
+            if [w for w, _ in mine[at : at + len(anchor)]] == anchor:
+                tail = re.sub(r"^[\s.,;:!?…]+", "", text[mine[at + len(anchor) - 1][1] :]).strip()
+                return ("inject", _last_chars(tail)) if tail else ("no_novel_content", "")
+    return "inject", _last_chars(text)
+
+
+def _last_chars(text: str) -> str:
+    if len(text) <= INTERIM_CHARS:
+        return text
+    start = len(text) - INTERIM_CHARS
+    space = text.find(" ", start)
+    return text[start if space < 0 else space + 1 :].strip()
+
+
+def pending_question(echo_ms: int = 5000, stable_ms: int = 900, most_age_ms: int = 90_000) -> Fold:
+    """Finals of the other side that wait for an answer: echoes of one's own words within ``echo_ms`` don't count, what
+    waits longer than ``most_age_ms`` is dropped, and a pause of ``stable_ms`` before a row fires the question."""
+
+    def step(s: dict, row: dict) -> tuple[dict, list[dict]]:
+        now, words = row["at_ms"], " ".join(_bare(row["text"]))
+        since = s["since"] if s["pending"] and now - s["since"] <= most_age_ms else now
+        pending = s["pending"] if since == s["since"] else 0
+        fired = int(pending > 0 and now - s["last"] >= stable_ms)
+        if fired:
+            pending, since = 0, now
+        if row["own"]:
+            return {**s, "pending": pending, "since": since, "own": words, "own_at": now}, [{"pending": pending, "echo": 0, "fired": fired}]
+        echo = int(bool(words) and now - s["own_at"] <= echo_ms and words in s["own"])
+        if not echo:
+            since, pending = (since if pending else now), pending + 1
+        return {**s, "pending": pending, "since": since, "last": s["last"] if echo else now}, [{"pending": pending, "echo": echo, "fired": fired}]
+
+    return Fold({"pending": 0, "since": 0, "last": 0, "own": "", "own_at": -(10**15)}, step)
