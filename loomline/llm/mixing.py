@@ -15,14 +15,16 @@ their names don't matter. Draws depend on ``seed`` and the data alone, so reruns
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.llm.common import bucket_offsets, materialize, table, whole_row
 
-WEIGHTS, MOST, BLOCK_WORDS, SLOTS_PER_SHARD, MAX_SHARDS, SEED = (5, 2, 1), 3, 128, 1 << 14, 8192, 11
+WEIGHTS, MOST, BLOCK_WORDS, SLOTS_PER_SHARD, GROUPS, SEED = (5, 2, 1), 3, 128, 1 << 14, 4096, 11
 BUCKETS = 512
 
 
@@ -59,26 +61,56 @@ def placed_words(docs: DataFrame) -> DataFrame:
     return rows.join(base, ["_src", "_bucket"]).withColumn("_start", F.col("_start") + F.col("base")).drop("base", "_bucket")
 
 
-def draw(sizes: list[int], goals: list[float], block_words: int, slots_per_shard: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first draw, number of draws) rows: multinomial counts per output shard."""
-    blocks = [math.ceil(s / block_words) for s in sizes]
+def lacking(sizes: list[int], goals: list[float], block_words: int) -> list[int]:
+    """Blocks that each source is to give, repeats counted."""
     lack = []
-    for size, goal, b in zip(sizes, goals, blocks):
+    for size, goal in zip(sizes, goals):
+        b = math.ceil(size / block_words)
         rounds, rest = divmod(goal, size) if size else (0, 0)
         lack.append(min(int(rounds) * b + round(rest / block_words), MOST * b))
-    need, done = np.array(lack, np.int64), np.zeros(len(sizes), np.int64)
-    rng, out, shard = np.random.default_rng(seed), [], 0
-    slots_per_shard = max(slots_per_shard, -(-int(need.sum()) // MAX_SHARDS))  # so the plan has MAX_SHARDS * sources rows at most
+    return lack
+
+
+def draw(need: np.ndarray, slots: int, seed: int | list[int]) -> Iterator[np.ndarray]:
+    """Per output shard of ``slots`` blocks: multinomial source counts, by what the sources still lack, until none lacks any."""
+    need, rng = np.array(need, np.int64), np.random.default_rng(seed)
     while need.sum() > 0:
-        room = min(slots_per_shard, int(need.sum()))
-        counts = np.zeros(len(sizes), np.int64)
+        room, counts = min(slots, int(need.sum())), np.zeros(len(need), np.int64)
         while room > 0:  # draws beyond what a source lacks are drawn again among the others
             got = np.minimum(rng.multinomial(room, (need - counts) / (need - counts).sum()), need - counts)
             counts += got
             room -= int(got.sum())
-        out += [(shard, int(s), int(done[s]), int(counts[s])) for s in np.flatnonzero(counts)]
-        done, need, shard = done + counts, need - counts, shard + 1
-    return out
+        need = need - counts
+        yield counts
+
+
+def shard_plan(spark: SparkSession, need: list[int], slots_per_shard: int, seed: int) -> DataFrame:
+    """(shard, _src, first, n): each shard's draws of each source, ``first`` counts the source's draws before.
+
+    The driver draws for at most GROUPS groups of whole shards; tasks draw the shards of a group, seeded by its number.
+    """
+    per_group = -(-max(1, -(-sum(need) // slots_per_shard)) // GROUPS)
+    done, rows = np.zeros(len(need), np.int64), []
+    for g, counts in enumerate(draw(np.array(need), slots_per_shard * per_group, seed)):
+        rows.append((g, done.tolist(), counts.tolist()))
+        done = done + counts
+    groups = spark.createDataFrame(rows, "g int, done array<long>, need array<long>")
+
+    def unfold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for g, first, want in zip(pdf["g"], pdf["done"], pdf["need"]):
+                first = np.array(first, np.int64)
+                for k, counts in enumerate(draw(np.array(want, np.int64), slots_per_shard, [seed, int(g)])):
+                    out += [(int(g) * per_group + k, int(i), int(first[i]), int(counts[i])) for i in np.flatnonzero(counts)]
+                    first = first + counts
+            yield pd.DataFrame(out, columns=["shard", "_src", "first", "n"])
+
+    return groups.repartition(_parts(spark), "g").mapInPandas(unfold, "shard int, _src int, first long, n long")
+
+
+def _parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def permuted(j: Column, b: Column, key: Column, rounds: int = 12) -> Column:
@@ -110,10 +142,10 @@ def mix(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, block_words: int =
     parts = rows.where("_size > 0").select("_rid", "_src", "_start", "_size", F.explode(F.sequence(first, last)).alias("block"))
     word = F.greatest(F.col("block") * block_words, F.col("_start"))
     parts = parts.select("_rid", "_src", "block", (word - F.col("_start")).alias("word"), (F.least((F.col("block") + 1) * block_words, F.col("_start") + F.col("_size")) - word).alias("n"))
-    plan = spark.createDataFrame(draw(sizes, goals, block_words, slots_per_shard, seed), "shard int, _src int, first long, n long")
+    plan = materialize(shard_plan(spark, lacking(sizes, goals, block_words), slots_per_shard, seed), "plan")
     counts = spark.createDataFrame([(i, math.ceil(s / block_words)) for i, s in enumerate(sizes)], "_src int, b long")
     # A shard's draws of a source are cut into runs of 512, so that no task unfolds a large range.
-    runs = plan.select("_src", "shard", "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 512))).alias("run")).repartition("_src", "shard", "run")
+    runs = plan.select("_src", "shard", "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 512))).alias("run")).repartition(_parts(spark), "_src", "shard", "run")
     begin = F.col("first") + F.col("run") * 512
     slots = runs.select("_src", "shard", F.explode(F.sequence(begin, F.least(F.col("first") + F.col("n"), begin + 512) - 1)).alias("slot"))
     slots = slots.join(F.broadcast(counts), "_src").select("_src", "shard", "slot", F.floor(F.col("slot") / F.col("b")).cast("int").alias("epoch"), permuted(F.col("slot"), F.col("b"), F.col("_src")).alias("block"))
