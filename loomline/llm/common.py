@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,3 +64,13 @@ def bucket_offsets(df: DataFrame, group: list[str], bucket: str, value: Column)
     sums = df.groupBy(*group, bucket).agg(F.sum(value).alias("_sum"))
     order = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     return sums.select(*group, bucket, F.coalesce(F.sum("_sum").over(order), F.lit(0)).cast("long").alias("base"))
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts with about ``limit`` bytes of text each, so that few texts are Python strings at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield batch.slice(at, end - at)
+        at = end

@@ -9,7 +9,10 @@
    once, guarded by a bounded Bloom filter of those digests, and the smallest and greatest text of a digest must be
    equal. Digests that fail are grouped by the whole text instead, so a collision never merges different texts.
 
-Nulls count as empty texts. Repeated rows are copies like any other: exactly one row of a group is kept.
+The merge is one aggregate by digest: the runs' order and their filters serve ``lookup``, not the merge.
+
+Nulls count as empty texts. Repeated rows are copies like any other: exactly one row of a group is kept. A very long
+text passes the memtable alone. An empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import BLANKS, materialize, table, whole_row
+from loomline.llm.common import BLANKS, materialize, slices, table, whole_row
 
 _BLANK_BYTES = BLANKS.encode()
 _RUN_SCHEMA = pa.schema([("sha", pa.binary()), ("rid", pa.int64()), ("run", pa.int64()), ("n_chars", pa.int64()), ("doc_id", pa.int64()), ("clash", pa.bool_())])
@@ -44,8 +47,8 @@ def write_runs(docs: DataFrame, digest_bytes: int = 32, memtable_bytes: int = 48
     def memtables(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         run, seq, held, seen, rows = part << 24, 0, 0, {}, []
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for part_of in (p for batch in batches for p in slices(batch, 1)):
+            for doc_id, text in zip(part_of.column(0).to_pylist(), part_of.column(1).to_pylist()):
                 data = normalise(text)
                 sha = hashlib.sha256(data).digest()
                 first = seen.setdefault(sha[:digest_bytes], data)
@@ -95,7 +98,7 @@ def _texts(docs: DataFrame, digest_bytes: int, bloom: bytes, bits: int, hold_byt
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["digest", "data"])
 
-        for batch in batches:
+        for batch in (p for whole in batches for p in slices(whole, 0)):
             for text in batch.column(0).to_pylist():
                 data = normalise(text)
                 digest = hashlib.sha256(data).digest()[:digest_bytes]
@@ -151,11 +154,13 @@ def _by_text(docs: DataFrame, runs: DataFrame, index: DataFrame, bad: DataFrame,
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The kept rows of ``docs``, all columns unchanged; of rows with equal id and equal normalised text, one."""
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
-    stay = exact_dedup(docs).where("kept").select(F.col("text_sha256").alias("_sha"), F.coalesce(F.col("keep_id"), F.lit(-(1 << 62))).alias("_id"))
-    rows = docs.select(whole_row(docs), sha.alias("_sha"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("_id"))
-    return rows.join(stay, ["_sha", "_id"], "left_semi").dropDuplicates(["_sha", "_id"]).select("_row.*")
+    """The kept rows of ``docs``, all columns unchanged; of rows with equal id and equal normalised text, the longest original."""
+    text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    sha = F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]", ""), 256)
+    key = lambda c: F.struct(c.isNull().alias("none"), F.coalesce(c, F.lit(0)).alias("id"))
+    stay = exact_dedup(docs).where("kept").select(F.col("text_sha256").alias("_sha"), key(F.col("keep_id")).alias("_id"))
+    rows = docs.select(whole_row(docs), sha.alias("_sha"), key(doc_id).alias("_id"), F.struct(-F.char_length(text), text).alias("_order"))
+    return rows.join(stay, ["_sha", "_id"], "left_semi").groupBy("_sha", "_id").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import tokens
-from loomline.llm.common import materialize, table
+from loomline.llm.common import materialize, slices, table
 
 WINDOW, END = 1024, 0
 
@@ -33,13 +33,12 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
         coder, part, total = tokens.coder(path), TaskContext.get().partitionId(), 0
         tail = np.array([end], coder.dtype).tobytes()
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in tokens.blocks(texts):
-                codes = [c + tail for c in coder.encode(texts[a:b])]
+            for some in slices(batch, 1):
+                codes = [c + tail for c in coder.encode([t or "" for t in some.column(1).to_pylist()])]
                 sizes = np.array([len(c) // coder.dtype.itemsize for c in codes], np.int64)
                 before = total + np.cumsum(sizes) - sizes
                 total += int(sizes.sum())
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(before), pa.array(sizes), pa.array(codes, pa.binary())], ["doc_id", "part", "before", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(some.num_rows, part, np.int32)), pa.array(before), pa.array(sizes), pa.array(codes, pa.binary())], ["doc_id", "part", "before", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, part int, before long, n long, ids binary")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import BLANKS, table
+from loomline.llm.common import BLANKS, slices, table
 
 SYMBOLS = "#*$%&|<>"
 MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 8, 20, 200
@@ -115,43 +115,27 @@ def _judge(ids: list, texts: list[str], min_repeat: int, max_covered: int, max_r
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS)], schema=_SCHEMA)
 
 
-def repetition_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: int = MAX_COVERED, max_repeat: int = MAX_REPEAT, block_chars: int = 2 << 20) -> DataFrame:
+def repetition_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: int = MAX_COVERED, max_repeat: int = MAX_REPEAT, block_chars: int = 1 << 20) -> DataFrame:
     """One row of figures and verdicts per document; no shuffle."""
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, held = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(doc_id)
-                texts.append(text or "")
-                held += len(texts[-1])
-                if held >= block_chars:
-                    yield _judge(ids, texts, min_repeat, max_covered, max_repeat)
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield _judge(ids, texts, min_repeat, max_covered, max_repeat)
+            for part in slices(batch, 1, block_chars):
+                yield _judge(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()], min_repeat, max_covered, max_repeat)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(judge, _DDL)
 
 
-def keep_unrepetitive(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: int = MAX_COVERED, max_repeat: int = MAX_REPEAT, block_chars: int = 2 << 20) -> DataFrame:
+def keep_unrepetitive(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: int = MAX_COVERED, max_repeat: int = MAX_REPEAT, block_chars: int = 1 << 20) -> DataFrame:
     """The documents that pass, all columns unchanged; no shuffle."""
     names = docs.columns
     at = names.index("text")
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            verdicts, start = [], 0
-            while start < len(texts):
-                end, held = start, 0
-                while end < len(texts) and (held < block_chars or end == start):
-                    held += len(texts[end])
-                    end += 1
-                block = _judge([0] * (end - start), texts[start:end], min_repeat, max_covered, max_repeat)
-                verdicts += block.column(block.schema.get_field_index("kept")).to_pylist()
-                start = end
-            yield batch.filter(pa.array(verdicts, pa.bool_()))
+            for part in slices(batch, at, block_chars):
+                block = _judge([0] * part.num_rows, [t or "" for t in part.column(at).to_pylist()], min_repeat, max_covered, max_repeat)
+                yield part.filter(block.column("kept"))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import materialize, table, whole_row
+from loomline.llm.common import materialize, slices, table, whole_row
 
 SEED, SHINGLE, DISTANCE, BLOCK = 42, 4, 4, 1024
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -57,8 +57,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            for part in slices(batch, 1):
+                fps = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
@@ -207,8 +208,9 @@ def _rarity(texts: DataFrame, shingle: int) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                counts += np.bincount(_bucket(shingle_hashes(t, shingle)), minlength=1 << 16)
+            for part in slices(batch, 0):
+                for t in part.column(0).to_pylist():
+                    counts += np.bincount(_bucket(shingle_hashes(t, shingle)), minlength=1 << 16)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["bucket", "n"])
 
@@ -241,8 +243,7 @@ def _prefixes(texts: DataFrame, shingle: int, least: float) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in slices(whole, 1):
                 sizes, toks, bits = [], [], []
                 for t in batch.column(1).to_pylist():
                     hashes = shingle_hashes(t, shingle)
@@ -262,8 +263,7 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in slices(whole, 1):
                 sets = [shingle_hashes(t, shingle).tobytes() for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "hashes"])
 

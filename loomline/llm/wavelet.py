@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.llm import tokens
-from loomline.llm.common import bucket_offsets, materialize, new_path, table
+from loomline.llm.common import bucket_offsets, materialize, new_path, slices, table
 
 END, SHARD_TOKENS, RANGE_BYTES, MAGIC = 1, 1 << 20, 256 << 20, b"LWM2"
 BLOCK = 512  # bits that one entry of the directory covers
@@ -240,16 +240,14 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end: int
                 out.write(to_bytes(np.frombuffer(b"".join(codes), dtype), ids, np.cumsum(sizes) - sizes, 8 * dtype.itemsize, end))
             return pa.RecordBatch.from_pylist([{"file": name, "part": part, "seq": seq, "tokens": int(sizes.sum())}], _MANIFEST)
 
-        for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in tokens.blocks(texts):
-                for doc_id, code in zip(names[a:b], coder.encode(texts[a:b])):
-                    ids.append(doc_id)
-                    codes.append(code + tail)
-                    held += len(codes[-1]) // dtype.itemsize
-                    if held >= shard_tokens:
-                        yield flush()
-                        held, ids, codes, seq = 0, [], [], seq + 1
+        for some in (p for batch in batches for p in slices(batch, 1)):
+            for doc_id, code in zip(some.column(0).to_pylist(), coder.encode(some.column(1).to_pylist())):
+                ids.append(doc_id)
+                codes.append(code + tail)
+                held += len(codes[-1]) // dtype.itemsize
+                if held >= shard_tokens:
+                    yield flush()
+                    held, ids, codes, seq = 0, [], [], seq + 1
         if ids:
             yield flush()
 
