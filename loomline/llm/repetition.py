@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import BLANKS, slices, table
+from loomline.llm import tokens
+from loomline.llm.common import BLANKS, slices, small_batches, table
 
 SYMBOLS = "#*$%&|<>"
 MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 8, 20, 200
@@ -128,10 +129,11 @@ def repetition_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered:
 
 def keep_unrepetitive(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: int = MAX_COVERED, max_repeat: int = MAX_REPEAT, block_chars: int = 1 << 20) -> DataFrame:
     """The documents that pass, all columns unchanged; no shuffle."""
-    names = docs.columns
-    at = names.index("text")
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         for batch in batches:
             for part in slices(batch, at, block_chars):
                 block = _judge([0] * part.num_rows, [t or "" for t in part.column(at).to_pylist()], min_repeat, max_covered, max_repeat)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.llm import tokens
 from loomline.llm.common import materialize, slices, table, whole_row
 
 SEED, SHINGLE, DISTANCE, BLOCK = 42, 4, 4, 1024
@@ -56,6 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp as a signed 64-bit number."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         for batch in batches:
             for part in slices(batch, 1):
                 fps = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
@@ -138,6 +140,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Dat
     pairs = pairs.select("x", "xi", "y", "yi", (here & (F.col("lblk") == F.col("blk"))).alias("same"))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         for batch in batches:
             out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k in range(batch.num_rows):
@@ -206,6 +209,7 @@ def _rarity(texts: DataFrame, shingle: int) -> np.ndarray:
     """How many (text, shingle) pairs fall into each of 2**16 buckets of shingle hashes: of a fixed size."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for part in slices(batch, 0):
@@ -242,6 +246,7 @@ def _prefixes(texts: DataFrame, shingle: int, least: float) -> DataFrame:
     rarity = _rarity(texts, shingle)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         for whole in batches:
             for batch in slices(whole, 1):
                 sizes, toks, bits = [], [], []
@@ -294,9 +299,9 @@ def similar(texts: DataFrame, least: float, shingle: int, distance: int = DISTAN
     or the parity bits rule them out. Every proposal is decided by the whole sets.
     """
     prefixes = materialize(_prefixes(texts, shingle, least), "prefixes")
-    tokens = prefixes.select("id", "n", F.posexplode("toks").alias("pos", "tok"))
-    shared = tokens.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
-    members = materialize(tokens.join(shared, "tok"), "members")
+    spread = prefixes.select("id", "n", F.posexplode("toks").alias("pos", "tok"))
+    shared = spread.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
+    members = materialize(spread.join(shared, "tok"), "members")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "proposed")

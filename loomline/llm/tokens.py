@@ -155,13 +155,6 @@ def coder(path: str) -> Coder:
     return _CODERS[path]
 
 
-def blocks(texts: list, limit: int = 2 << 20):
-    """Index ranges of ``texts`` with about ``limit`` characters each."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held >= limit:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def release() -> None:
+    """Drop this worker's coders with their words: for other operators' tasks, as workers are used again."""
+    _CODERS.clear()
