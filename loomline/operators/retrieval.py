@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import scores, text
+from loomline.operators.work import written
 
 
 def query_terms(query: str) -> list[str]:
@@ -16,21 +17,28 @@ def query_terms(query: str) -> list[str]:
     return [w for w in re.sub(r"[^a-z0-9-]+", " ", lower).split(" ") if len(w) > 2]
 
 
+def once(words: Column) -> Column:
+    """A column that is used several times, computed once a row: projections are not merged over a generator."""
+    return F.explode(F.array(words))
+
+
 def term_counts(docs: DataFrame, keys: list[str], terms: list[str]) -> DataFrame:
     """(keys, len, tf0, tf1, ...): the tokens of each document and how often each term is among them."""
-    words = docs.select(*keys, F.explode_outer(text.tokens(F.col("text"))).alias("w"))
-    return words.groupBy(*keys).agg(F.count("w").alias("len"), *[F.count_if(F.col("w") == t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    words = docs.select(*keys, once(text.tokens(F.col("text"))).alias("w"))
+    hits = words.select(*keys, F.size("w").cast("long").alias("len"), once(F.filter("w", lambda x: x.isin(terms))).alias("h"))
+    count = lambda t: F.size(F.filter("h", lambda x: x == t)).cast("long")
+    return hits.select(*keys, "len", *[count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
 
 
 def bm25(docs: DataFrame, query: str, key: str = "doc_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(key, score) of every document with a query term. A repeated query term counts as often as it stands there.
 
-    Only the query's terms are counted: tasks reduce each document to its length and one count per term before the
-    shuffle, statistics are one aggregated row of the same exchange, and no posting list is shuffled.
+    Only the query's terms are counted, in each document's own row; statistics are one aggregated row. No document and
+    no posting list is shuffled.
     """
     terms = query_terms(query)
     distinct = list(dict.fromkeys(terms))
-    counted = term_counts(docs, [key], distinct)
+    counted = written(term_counts(docs, [key], distinct))  # a few numbers a document; texts are read once
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(distinct))])
     found = sum((F.col(f"tf{i}") for i in range(len(distinct))), F.lit(0)) > 0
     rows = counted.where(found).crossJoin(F.broadcast(stats))  # one row
@@ -42,10 +50,11 @@ def bm25(docs: DataFrame, query: str, key: str = "doc_id", k1: float = 1.5, b: f
     return rows.select(key, score.alias("score"))
 
 
-def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(term, key, tf, len): the inverted index, for many queries at once."""
-    words = docs.select(key, text.tokens(F.col("text")).alias("w"))
-    return words.select(key, F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("term", key, "len").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, key: str = "doc_id", terms: list[str] | None = None) -> DataFrame:
+    """(term, key, tf, len): the inverted index, for many queries at once; of the given terms only, if there are any."""
+    words = docs.select(key, once(text.tokens(F.col("text"))).alias("w"))
+    wanted = F.col("w") if terms is None else F.filter("w", lambda x: x.isin(terms))
+    return words.select(key, F.size("w").alias("len"), F.explode(wanted).alias("term")).groupBy("term", key, "len").agg(F.count("*").alias("tf"))
 
 
 def bm25_many(index: DataFrame, queries: DataFrame, n_docs: int, avg_len: float, key: str = "doc_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Selection under a budget: ordered folds per query, over its candidates (at most a few hundred by construction).
+"""Selection under a budget: ordered folds per query, over the candidates that a search returns (200 at most; see ``top_per_group``).
 
 ``fold_budget`` is an aggregate over an ordered array of structs; the other folds carry several counters and run per
 query on Arrow-backed frames.

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators.ranking import rank_in_groups
+
 
 def keep_latest(rows: DataFrame, key: list[str], *recency: Column) -> DataFrame:
     """One row per key: the first by the given order. A single shuffle by key."""
@@ -37,17 +39,18 @@ def cascade_delete(parents: DataFrame, children: DataFrame, gone: DataFrame, par
     return parents.join(gone, parent_key, "left_anti"), children.join(gone.withColumnRenamed(parent_key, child_key), child_key, "left_anti")
 
 
-def evict(rows: DataFrame, capacity: int, first_out: Column, *age: Column) -> DataFrame:
+def evict(rows: DataFrame, capacity: int, first_out: Column, bucket: Column, *age: Column) -> DataFrame:
     """At most ``capacity`` rows: those for which ``first_out`` holds leave first, oldest first.
 
-    The rows that leave are counted over (first_out, age) values, so ranking needs no single-task window over all rows.
+    ``bucket`` rises with the age order (a day, say). Rows are ranked inside (first_out, bucket) and buckets are
+    counted, so no task orders all rows and nothing is subtracted.
     """
     excess = rows.count() - capacity
     if excess <= 0:
         return rows
-    gone = rows.orderBy(F.when(first_out, 0).otherwise(1), *age).limit(excess)
-    keys = [c for c in rows.columns]
-    return rows.exceptAll(gone.select(*keys))
+    marked = rows.withColumn("_all", F.lit(0))
+    place = F.struct(F.when(first_out, 0).otherwise(1).alias("late"), bucket.alias("b"))
+    return rank_in_groups(marked, ["_all"], place, *age, name="_rank").where(F.col("_rank") > excess).drop("_rank", "_all")
 
 
 def next_numbers(old: DataFrame, new: DataFrame, part: str, number: str, order: str) -> DataFrame:

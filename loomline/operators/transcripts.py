@@ -1,12 +1,13 @@
 """Conversations as segments: sessionising, cleaning, chunking, lookback windows.
 
 A segment is (conv_id, seq, speaker, text, timestamp_ms). Everything but the chunkers is windows over a conversation;
-the chunkers are ordered folds, run per conversation on Arrow-backed frames. A conversation fits in memory by nature.
+the chunkers are ordered folds over rows that Spark sorts and streams, so a task holds one chunk, not a conversation.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -75,7 +76,7 @@ def _tokens(text: str) -> int:
     return -(-len(text) // 4)
 
 
-def fold_turns(rows: list[tuple], most: int = 400, least: int = 100, overlap: int = 50) -> Iterator[list[tuple]]:
+def fold_turns(rows: Iterable[tuple], most: int = 400, least: int = 100, overlap: int = 50) -> Iterator[list[tuple]]:
     """Groups of (speaker, text, start, end): speaker turns up to ``most`` tokens, at most two segments carried over."""
     held: list[tuple] = []
     size = 0
@@ -103,44 +104,70 @@ def fold_turns(rows: list[tuple], most: int = 400, least: int = 100, overlap: in
         yield held
 
 
+def fold_sorted(rows: DataFrame, fold, schema: str) -> DataFrame:
+    """``fold`` turns a conversation's rows, in order, into output tuples; rows stream by, sorted by Spark."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = (row for pdf in frames for row in pdf.itertuples(index=False))
+        out: list[tuple] = []
+        for key, own in groupby(every, key=lambda row: row.conv_id):
+            for made in fold(own):
+                out.append((key, *made))
+                if len(out) == 1000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq").mapInPandas(run, schema)
+
+
 def chunk_turns(clean: DataFrame) -> DataFrame:
     """Speaker-turn chunks of preprocessed segments: 400 tokens at most, overlap of about 50 within a speaker."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        out = []
-        for n, group in enumerate(fold_turns(list(zip(pdf["speaker"], pdf["text"], pdf["start_ms"], pdf["end_ms"])))):
+    def fold(rows: Iterable) -> Iterator[tuple]:
+        for n, group in enumerate(fold_turns((r.speaker, r.text, r.start_ms, r.end_ms) for r in rows)):
             joined = " ".join(g[1] for g in group)
-            out.append((pdf["conv_id"].iloc[0], n, group[0][0], group[0][2], group[-1][3], joined, _tokens(joined)))
-        return pd.DataFrame(out, columns=["conv_id", "chunk", "speaker", "start_ms", "end_ms", "text", "tokens"])
+            yield n, group[0][0], group[0][2], group[-1][3], joined, _tokens(joined)
 
-    return clean.groupBy("conv_id").applyInPandas(fold, "conv_id long, chunk int, speaker string, start_ms long, end_ms long, text string, tokens long")
+    return fold_sorted(clean.select("conv_id", "seq", "speaker", "text", "start_ms", "end_ms"), fold, "conv_id long, chunk int, speaker string, start_ms long, end_ms long, text string, tokens long")
+
+
+def fold_long(rows: Iterable, most: int, overlap: int, short: int, carry_rows: int) -> Iterator[list[tuple]]:
+    """Groups of (text, at): one if all is at most ``short`` tokens, else up to ``most`` with the last rows carried over."""
+    rows, first, total = iter(rows), [], 0
+    for row in rows:
+        first.append(row)
+        total += _tokens(row[0])
+        if total > short:
+            break
+    if total <= short:
+        yield first
+        return
+    held: list[tuple] = []
+    size = 0
+    for row in chain(first, rows):
+        cost = _tokens(row[0])
+        if held and size + cost > most:
+            yield held
+            carry: list[tuple] = []
+            size = 0
+            for old in reversed(held):
+                if len(carry) == carry_rows or size + _tokens(old[0]) > overlap:
+                    break
+                carry.insert(0, old)
+                size += _tokens(old[0])
+            held = carry
+        held = [*held, row]
+        size += cost
+    yield held
 
 
 def chunk_long(rows: DataFrame, most: int = 3000, overlap: int = 300, short: int = 1500, carry_rows: int = 6) -> DataFrame:
     """Whole-transcript chunks: one if it is short, else up to ``most`` tokens with the last segments carried over."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        texts, stamps = list(pdf["text"]), list(pdf["timestamp_ms"])
-        costs = [_tokens(t) for t in texts]
-        groups: list[list[int]] = []
-        if sum(costs) <= short:
-            groups = [list(range(len(texts)))]
-        else:
-            held: list[int] = []
-            for i, cost in enumerate(costs):
-                if held and sum(costs[j] for j in held) + cost > most:
-                    groups.append(held)
-                    carry: list[int] = []
-                    for j in reversed(held):
-                        if len(carry) == carry_rows or sum(costs[c] for c in carry) + costs[j] > overlap:
-                            break
-                        carry.insert(0, j)
-                    held = carry
-                held = [*held, i]
-            groups.append(held)
-        out = [(pdf["conv_id"].iloc[0], n, stamps[g[0]], stamps[g[-1]], len(g), "\n".join(texts[j] for j in g)) for n, g in enumerate(groups)]
-        return pd.DataFrame(out, columns=["conv_id", "chunk", "start_ms", "end_ms", "segments", "text"])
-
-    return rows.groupBy("conv_id").applyInPandas(fold, "conv_id long, chunk int, start_ms long, end_ms long, segments int, text string")
+    def fold(own: Iterable) -> Iterator[tuple]:
+        for n, group in enumerate(fold_long(((r.text, r.timestamp_ms) for r in own), most, overlap, short, carry_rows)):
+            yield n, group[0][1], group[-1][1], len(group), "\n".join(g[0] for g in group)
+
+    return fold_sorted(rows.select("conv_id", "seq", "text", "timestamp_ms"), fold, "conv_id long, chunk int, start_ms long, end_ms long, segments int, text string")

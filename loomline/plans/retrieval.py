@@ -6,12 +6,13 @@ Scores are rounded to six decimals and ties are broken by id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import scores, text
 from loomline.operators import retrieval as r
 from loomline.operators import selection
+from loomline.operators.ranking import rank_in_groups, top_per_group
 from loomline.plans import sqltext
 from loomline.registry import Tables, query
 
@@ -56,7 +57,10 @@ def tokens(t: Tables) -> DataFrame:
 
 @query("d12_term_statistics", f"""SELECT term, count(*) AS df, sum(tf) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({sqltext.tokens('text')}) AS term FROM documents) GROUP BY 1, 2) GROUP BY term""")
 def term_statistics(t: Tables) -> DataFrame:
-    return r.postings(t.documents).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
+    """A document's words are sorted in its row, so that the first of each can be told: one aggregate, no posting list."""
+    words = t.documents.select(r.once(F.array_sort(text.tokens(F.col("text")))).alias("w"))
+    marked = F.transform("w", lambda x, i: F.struct(x.alias("term"), (~x.eqNullSafe(F.get("w", i - 1))).cast("long").alias("new")))
+    return words.select(F.inline(marked)).groupBy("term").agg(F.sum("new").alias("df"), F.count("*").alias("cf"))
 
 
 @query("h1_bm25_topk", f"SELECT doc_id, round(score, 6) AS score FROM ({_BM25}) ORDER BY round(score, 6) DESC, doc_id LIMIT 10")
@@ -74,7 +78,7 @@ _MANY = {1: "the thing with reason", 2: "and from that which", 3: "this was then
 
 @query("h1_bm25_many", " UNION ALL ".join(f"SELECT {q} AS query_id, doc_id, round(score, 6) AS score FROM ({sqltext.bm25(r.query_terms(s))})" for q, s in _MANY.items()))
 def bm25_many(t: Tables) -> DataFrame:
-    index = r.postings(t.documents)
+    index = r.postings(t.documents, terms=sorted({w for q in _MANY.values() for w in r.query_terms(q)}))
     stats = t.documents.select(F.size(text.tokens(F.col("text"))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
     wanted = t.spark.createDataFrame([(q, w) for q, s in _MANY.items() for w in r.query_terms(s)], "query_id int, term string")
     return _six(r.bm25_many(index, wanted, stats["n"], stats["avg"]), "score")
@@ -201,7 +205,7 @@ def global_search(t: Tables) -> DataFrame:
 SELECT conv_id, round(sum(CASE source WHEN 'memory' THEN 0.2 ELSE 0.3 END / (60 + rank)), 6) AS rrf FROM k GROUP BY conv_id""")
 def global_search_rrf(t: Tables) -> DataFrame:
     best = _candidates(t).where("score > 0").groupBy("conv_id", "source").agg(F.max("score").alias("score"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "conv_id"))).withColumn("weight", F.when(F.col("source") == "memory", 0.2).otherwise(0.3))
+    ranked = rank_in_groups(best, ["source"], -F.floor(F.col("score") * 100), F.desc("score"), F.col("conv_id")).withColumn("weight", F.when(F.col("source") == "memory", 0.2).otherwise(0.3))
     return _six(r.rrf(ranked, "conv_id"), "rrf").select("conv_id", "rrf")
 
 
@@ -280,9 +284,9 @@ def rank_score(t: Tables) -> DataFrame:
 
 
 def _per_query(t: Tables) -> DataFrame:
-    """Candidates of twenty queries (one per source): id, score, tokens, file, section, text."""
-    rows = t.documents.select(F.regexp_extract("source", r"\d+", 0).cast("long").alias("query_id"), F.col("doc_id").alias("id"), F.round(scores.set_cosine(F.array(*[F.lit(x) for x in TERMS]), text.tokens(F.col("text"))), 6).alias("score"), text.token_estimate(F.col("text")).alias("tokens"), F.col("lang").alias("file"), (F.col("doc_id") % 7).alias("section"), "text")
-    return rows.where("score > 0")
+    """The candidates of each query (one per source), as a search returns them: the 200 best, with id, score, tokens, file, section."""
+    rows = t.documents.select(F.regexp_extract("source", r"\d+", 0).cast("long").alias("query_id"), F.col("doc_id").alias("id"), F.round(scores.set_cosine(F.array(*[F.lit(x) for x in TERMS]), text.tokens(F.col("text"))), 6).alias("score"), text.token_estimate(F.col("text")).alias("tokens"), F.col("lang").alias("file"), (F.col("doc_id") % 7).alias("section"))
+    return top_per_group(rows.where("score > 0"), ["query_id"], 200, F.desc("score"), F.col("id"))
 
 
 @query("e9_budget_fold")
@@ -292,20 +296,23 @@ def budget_fold(t: Tables) -> DataFrame:
 
 @query("e10_floors_and_caps")
 def floors_and_caps(t: Tables) -> DataFrame:
-    return selection.select_per_query(_per_query(t).drop("text"), lambda c: selection.floors_and_caps(sorted(c, key=lambda x: x["id"]), 6000, 10))
+    return selection.select_per_query(_per_query(t), lambda c: selection.floors_and_caps(sorted(c, key=lambda x: x["id"]), 6000, 10))
 
 
 @query("h26_sufficient_set")
 def sufficient_set(t: Tables) -> DataFrame:
-    rows = _per_query(t).withColumn("terms", F.array_intersect(F.array(*[F.lit(x) for x in sorted(set(TERMS))]), text.tokens(F.col("text")))).drop("text")
+    words = t.documents.select(F.col("doc_id").alias("id"), F.array_intersect(F.array(*[F.lit(x) for x in sorted(set(TERMS))]), text.tokens(F.col("text"))).alias("terms"))
+    rows = _per_query(t).join(words, "id")
     return selection.select_per_query(rows, lambda c: selection.smallest_sufficient(c, set(TERMS)))
 
 
 @query("h33_pack_context")
 def pack_context(t: Tables) -> DataFrame:
-    return selection.select_per_query(_per_query(t), lambda c: selection.pack_context(c, 5000, 12))
+    # A passage is known by its digest: texts aren't gathered.
+    marks = t.documents.select(F.col("doc_id").alias("id"), F.sha2(F.trim("text"), 256).alias("text"))
+    return selection.select_per_query(_per_query(t).join(marks, "id"), lambda c: selection.pack_context(c, 5000, 12))
 
 
 @query("h34_evict_blocks")
 def evict_blocks(t: Tables) -> DataFrame:
-    return selection.select_per_query(_per_query(t).drop("text").withColumn("priority", F.col("id") % 9 + 1), lambda c: selection.evict_blocks(c, 9000))
+    return selection.select_per_query(_per_query(t).withColumn("priority", F.col("id") % 9 + 1), lambda c: selection.evict_blocks(c, 9000))

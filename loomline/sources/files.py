@@ -26,14 +26,15 @@ def decode(content: Column) -> Column:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, extension, bytes, sha256, text, refused): refused says why a file has no text, else null.
 
-    PDF and DOCX files are refused, as nothing here decodes them. Files above 50 MB are not loaded.
+    PDF and DOCX files are refused, as nothing here decodes them; files above 50 MB are refused; files without bytes
+    are skipped by Spark's reader.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     extension = F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))
     slim = files.select("path", extension.alias("extension"), F.col("length").alias("bytes"), "content")
     wide = F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
     binary = ~wide & F.hex(F.substring("content", 1, SNIFFED_BYTES)).rlike("^(?:..)*?00")
-    refused = F.when(~F.col("extension").isin(EXTENSIONS), "extension").when(F.col("bytes") == 0, "empty").when(F.col("bytes") > MOST_BYTES, "too large").when(binary, "binary")
+    refused = F.when(~F.col("extension").isin(EXTENSIONS), "extension").when(F.col("bytes") > MOST_BYTES, "too large").when(binary, "binary")
     slim = slim.withColumn("refused", refused)
     return slim.select("path", "extension", "bytes", F.sha2("content", 256).alias("sha256"), F.when(F.col("refused").isNull(), decode(F.col("content"))).alias("text"), "refused")
 

@@ -6,22 +6,11 @@ so a batch that is run again replaces its own output.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.operators import transcripts
-
-
-def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="loomline-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from loomline.operators.work import shared_folder  # noqa: F401  (plans take it from here)
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataFrame:
