@@ -89,11 +89,6 @@ def interim_noise(t: Tables) -> DataFrame:
     return _segments(t).where(text.is_interim_noise(F.col("text"))).groupBy("conv_id").agg(F.count("*").alias("noise"))
 
 
-@query("i16_insights", rf"""WITH {SEGMENTS}, {_FLAGGED} SELECT conv_id, count(*) FILTER (WHERE regexp_matches(t, '\?$')) AS questions, count(*) FILTER (WHERE regexp_matches(t, '(?i)\bagreed\b')) AS decisions, count(*) FILTER (WHERE regexp_matches(t, '(?i)\bneed to\b')) AS actions FROM f GROUP BY conv_id""")
-def insights(t: Tables) -> DataFrame:
-    return _flagged(t).groupBy("conv_id").agg(F.count_if(F.col("t").rlike(r"\?$")).alias("questions"), F.count_if(F.col("t").rlike(text.word("agreed"))).alias("decisions"), F.count_if(F.col("t").rlike(text.word("need to"))).alias("actions"))
-
-
 @query("i18_dedupe_sources", f"WITH {SEGMENTS} SELECT lower(trim(text)) AS text, min(conv_id * 100000 + seq) AS first, count(*) AS n FROM segments GROUP BY 1")
 def dedupe_sources(t: Tables) -> DataFrame:
     return _segments(t).groupBy(F.lower(F.trim("text")).alias("text")).agg(F.min(F.col("conv_id") * 100000 + F.col("seq")).alias("first"), F.count("*").alias("n"))

@@ -17,11 +17,6 @@ def page_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.strip_markup(F.col("html")).alias("text"))
 
 
-@query("k2_heading_outline", r"""SELECT page_id, regexp_extract_all(html, '<h1>(.*?)</h1>', 1) AS h FROM pages""".replace("AS h", "AS headings"))
-def heading_outline(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.regexp_extract_all("html", F.lit("<h1>(.*?)</h1>"), 1).alias("headings"))
-
-
 @query("k4_page_type", r"""SELECT page_id, CASE WHEN regexp_matches(html, '(?i)monaco-editor|CodeMirror-code|cm-content') OR (regexp_matches(html, '(?i)<(pre|code)\b') AND length(html) < 800) THEN 'coding' WHEN length(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), '<[^>]*>', '', 'g')) >= 500 THEN 'article' ELSE 'app' END AS kind FROM pages""")
 def page_type(t: Tables) -> DataFrame:
     html = F.col("html")
