@@ -17,7 +17,7 @@ DOCUMENT_WORDS = r"(?i)\b(?:file|document|notes?|pdf|according to|uploaded|that|
 MEETING = r"(?i)\b(?:meeting|meetings|call|conversation|discuss(?:ed|ion)?|talk(?:ed|ing)?|said|mentioned|decided|decision|agreed|action items?|follow[- ]?up|next steps?|speaker|transcript)\b|\bwhat did (?:we|he|she|they|[a-z][a-z0-9_-]*) say\b"
 CONVERSATION = r"(?i)^(?:what did we|what have we|what were we|what was discussed|what did i say|what did you say|what did they say|what happened|what did we discuss|what was our discussion|what did we decide)\b|\b(?:five minutes ago|a few minutes ago|just now|earlier today|earlier|previously|in our meeting|in the meeting|on the call|during the call)\b"
 PERSONAL = r"(?i)\b(?:my|mine|personal|notes?|notebook|saved|resume|cv|curriculum vitae|my files?|personal files?|project notes?|projects?|find my)\b"
-KNOWLEDGE = r"(?i)\b(?:knowledge(?:\s+file)?|okf|verified (?:fact|card)s?)\b"
+KNOWLEDGE = r"(?i)\b(?:knowledge(?:\s+file)?|verified (?:fact|card)s?)\b"
 REFERENCE_FILES = r"(?i)\b(?:annual report|quarterly report|report|reference file|reference files|uploaded document|uploaded file|document|documents|paper|specification|specs|policy|manual|handbook|presentation|slides|dataset|research|whitepaper)\b"
 STUB = r"(?i)^(?:please\s+)?(?:elaborate|continue|expand|go (?:on|deeper)|tell me more|more detail)\b"
 REFERENTIAL_START = r"(?i)^(?:and\s+)?(?:how|why|when|where|what|who|which|can|could|would|does|did|is|are|was|were|tell|explain|expand|elaborate|go)\b"
