@@ -296,13 +296,23 @@ def similar(texts: DataFrame, least: float, shingle: int, distance: int = DISTAN
     First the cheap proposals: texts whose fingerprints are equal or linked in the grid, and each text with three texts
     per shared shingle of its prefix (those with the smallest hashes), which joins large groups by few comparisons.
     Then all pairs of texts that share a prefix shingle and aren't yet in one component, unless the first shared place
-    or the parity bits rule them out. Every proposal is decided by the whole sets.
+    or the parity bits rule them out. Every proposal that sizes and parity bits allow is decided by the whole sets.
     """
     prefixes = materialize(_prefixes(texts, shingle, least), "prefixes")
     spread = prefixes.select("id", "n", F.posexplode("toks").alias("pos", "tok"))
     shared = spread.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
     members = materialize(spread.join(shared, "tok"), "members")
 
+    total = lambda m, n: (F.col(m) + F.col(n)) / (1 + least)  # noqa: E731  shingles that two sets can have in all
+    fits = lambda m, n: F.least(m, n) >= F.greatest(m, n) * least - 1e-6
+    apart = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in _WORDS), F.lit(0))
+    alike = fits(F.col("na"), F.col("nb")) & (apart <= total("na", "nb") * (1 - least) + 1e-6)
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that sizes and parity bits don't rule out: whole sets are moved for these only."""
+        a, b = (prefixes.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}{s}") for c in ("n", *_WORDS)]) for s in "ab")
+        return pairs.join(a, "a").join(b, "b").where(alike).select("a", "b")
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "proposed")
         ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -314,12 +324,10 @@ def similar(texts: DataFrame, least: float, shingle: int, distance: int = DISTAN
     groups = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "groups")
     linked = links(groups, distance)
     equal = marked.join(groups, "fp").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    total = lambda m, n: (F.col(m) + F.col(n)) / (1 + least)  # noqa: E731  shingles that two sets can have in all
-    fits = lambda m, n: F.least(m, n) >= F.greatest(m, n) * least - 1e-6
     centres = members.groupBy("tok").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("c"), F.col("n").alias("m"))).alias(f"z{k}") for k in range(3)])
     stars = members.join(centres, "tok").select("id", "n", F.explode(F.array("z0", "z1", "z2")).alias("z")).where(fits(F.col("n"), F.col("z.m"))).select(F.col("id").alias("a"), F.col("z.c").alias("b"))
     proposed = stars.union(linked).union(equal).where("a <> b")
-    edges = verified(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = verified(likely(materialize(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")))
 
     roots = components(edges).withColumnRenamed("node", "id")
     info = materialize(prefixes.select("id", *_WORDS).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "roots")
@@ -328,9 +336,8 @@ def similar(texts: DataFrame, least: float, shingle: int, distance: int = DISTAN
     many = placed.groupBy("tok").agg((F.min("root") != F.max("root")).alias("many")).where("many").select("tok")
     placed = materialize(placed.join(many, "tok"), "placed")
     side = lambda s: placed.select(*[F.col(c).alias(f"{c}{s}") for c in ("tok", "id", "n", "pos", "root", *_WORDS)])
-    apart = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in _WORDS), F.lit(0))
     # Where a pair's first common shingle stands, all its common ones stand from there on; parity bits show differences.
-    possible = fits(F.col("na"), F.col("nb")) & (F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= total("na", "nb") * least - 1e-6) & (apart <= total("na", "nb") * (1 - least) + 1e-6)
+    possible = alike & (F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= total("na", "nb") * least - 1e-6)
     pairs = side("a").join(side("b"), (F.col("toka") == F.col("tokb")) & (F.col("roota") < F.col("rootb")) & possible)
     more = verified(pairs.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct())
     return components(edges.union(more))
