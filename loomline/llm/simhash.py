@@ -330,11 +330,10 @@ def similar(texts: DataFrame, least: float, shingle: int, distance: int = DISTAN
     edges = verified(likely(materialize(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")))
 
     roots = components(edges).withColumnRenamed("node", "id")
-    info = materialize(prefixes.select("id", *_WORDS).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "roots")
-    placed = members.join(info, "id")
-    # Keys that hold one component only fall out before any rows are paired.
+    placed = materialize(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "placed")
+    # Keys that hold one component only fall out before any rows are paired, or get their parity bits.
     many = placed.groupBy("tok").agg((F.min("root") != F.max("root")).alias("many")).where("many").select("tok")
-    placed = materialize(placed.join(many, "tok"), "placed")
+    placed = materialize(placed.join(many, "tok"), "many").join(prefixes.select("id", *_WORDS), "id")
     side = lambda s: placed.select(*[F.col(c).alias(f"{c}{s}") for c in ("tok", "id", "n", "pos", "root", *_WORDS)])
     # Where a pair's first common shingle stands, all its common ones stand from there on; parity bits show differences.
     possible = alike & (F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= total("na", "nb") * least - 1e-6)
