@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -45,11 +46,18 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Spark deletes the shuffle files of the write as soon as the table stands, not when the driver next collects garbage.
+    """
     spark = df.sparkSession
     small_batches(spark)
-    path = new_path(spark, label)
-    df.write.options(**options).parquet(path)
+    path, before = new_path(spark, label), spark.conf.get(CLEANUP_SETTING, None)
+    spark.conf.set(CLEANUP_SETTING, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP_SETTING) if before is None else spark.conf.set(CLEANUP_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,11 +66,13 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[df[c] for c in df.columns]).alias("_row")
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a work table that no lazily evaluated result needs any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no lazily evaluated result needs any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def bucket_offsets(df: DataFrame, group: list[str], bucket: str, value: Column) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import tokens
-from loomline.llm.common import materialize, slices, table, whole_row
+from loomline.llm.common import discard, materialize, slices, table, whole_row
 
 SEED, SHINGLE, DISTANCE, BLOCK = 42, 4, 4, 1024
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -318,7 +318,9 @@ def similar(texts: DataFrame, least: float, shingle: int, distance: int = DISTAN
         ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         sets = materialize(_shingle_sets(texts.join(ends, "id", "left_semi"), shingle), "sets")
         joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-        return materialize(_jaccard_at_least(joined, least), "similar")
+        found = materialize(_jaccard_at_least(joined, least), "similar")
+        discard(pairs, sets)
+        return found
 
     marked = materialize(fingerprints(texts.select(F.col("id").alias("doc_id"), "text"), shingle), "fingerprints")
     groups = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "groups")
@@ -327,18 +329,25 @@ def similar(texts: DataFrame, least: float, shingle: int, distance: int = DISTAN
     centres = members.groupBy("tok").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("c"), F.col("n").alias("m"))).alias(f"z{k}") for k in range(3)])
     stars = members.join(centres, "tok").select("id", "n", F.explode(F.array("z0", "z1", "z2")).alias("z")).where(fits(F.col("n"), F.col("z.m"))).select(F.col("id").alias("a"), F.col("z.c").alias("b"))
     proposed = stars.union(linked).union(equal).where("a <> b")
-    edges = verified(likely(materialize(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")))
+    first = materialize(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
+    discard(marked, groups)
+    edges = verified(likely(first))
+    discard(first)
 
     roots = components(edges).withColumnRenamed("node", "id")
     placed = materialize(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "placed")
+    discard(members)
     # Keys that hold one component only fall out before any rows are paired, or get their parity bits.
     many = placed.groupBy("tok").agg((F.min("root") != F.max("root")).alias("many")).where("many").select("tok")
-    placed = materialize(placed.join(many, "tok"), "many").join(prefixes.select("id", *_WORDS), "id")
-    side = lambda s: placed.select(*[F.col(c).alias(f"{c}{s}") for c in ("tok", "id", "n", "pos", "root", *_WORDS)])
+    paired = materialize(placed.join(many, "tok"), "many")
+    discard(placed)
+    paired = paired.join(prefixes.select("id", *_WORDS), "id")
+    side = lambda s: paired.select(*[F.col(c).alias(f"{c}{s}") for c in ("tok", "id", "n", "pos", "root", *_WORDS)])
     # Where a pair's first common shingle stands, all its common ones stand from there on; parity bits show differences.
     possible = alike & (F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= total("na", "nb") * least - 1e-6)
     pairs = side("a").join(side("b"), (F.col("toka") == F.col("tokb")) & (F.col("roota") < F.col("rootb")) & possible)
     more = verified(pairs.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct())
+    discard(prefixes)
     return components(edges.union(more))
 
 
