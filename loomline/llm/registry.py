@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.llm import exact_dedup, html_main, mixing, packing, repetition, sharding, simhash, surrogates, warc, wavelet
+from loomline.llm import ball_kmeans, exact_dedup, html_main, mixing, packing, repetition, sharding, simhash, surrogates, warc, wavelet
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_wavelet": wavelet.op8_wavelet,
     "op9_html_main": html_main.op9_html_main,
     "op10_warc": warc.op10_warc,
+    "op13_ball_kmeans": ball_kmeans.op13_ball_kmeans,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op2_repetition": repetition.ORACLE_SQL, "op9_html_main": html_main.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op2_repetition": repetition.ORACLE_SQL, "op9_html_main": html_main.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL, "op13_ball_kmeans": ball_kmeans.ORACLE_SQL}
