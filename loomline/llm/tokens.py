@@ -60,8 +60,8 @@ class Coder:
         if self.words:
             return text.replace("\n", " ").split(" ")
         # Between two characters that aren't white space, a space always begins a new piece, which takes it along.
-        odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER.search(text)
-        # A single line feed between two such characters is a piece of its own; it begins a unit that has no space.
+        odd = "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text[:1] == " " or text[-1:] == " " or text[-2:] == "\n\n" or _OTHER.search(text)
+        # One or two line feeds between two such characters are pieces of their own; each begins a unit that has no space.
         return _CUT.split(text) if odd else text.replace("\n", " \n").split(" ")
 
     def _learn(self, need: set[str]) -> None:
