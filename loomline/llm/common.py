@@ -45,9 +45,10 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, folders_by: str | None = None, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
+    ``folders_by`` names a column with few values that gets a folder per value, so that a filter on it prunes files.
     Spark deletes the shuffle files of the write as soon as the table stands, not when the driver next collects garbage.
     """
     spark = df.sparkSession
@@ -55,7 +56,7 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     path, before = new_path(spark, label), spark.conf.get(CLEANUP_SETTING, None)
     spark.conf.set(CLEANUP_SETTING, "true")
     try:
-        df.write.options(**options).parquet(path)
+        df.write.options(**options).parquet(path, partitionBy=folders_by)
     finally:
         spark.conf.unset(CLEANUP_SETTING) if before is None else spark.conf.set(CLEANUP_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.llm import automaton, ball_kmeans, exact_dedup, html_main, mixing, packing, repetition, sharding, simhash, surrogates, warc, wavelet
+from loomline.llm import automaton, ball_kmeans, exact_dedup, html_main, mixing, packing, repetition, sharding, simhash, surrogates, tiered, warc, wavelet
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_wavelet": wavelet.op8_wavelet,
     "op9_html_main": html_main.op9_html_main,
     "op10_warc": warc.op10_warc,
+    "op11_tiered_search": tiered.op11_tiered_search,
     "op12_bpe_automaton": automaton.op12_bpe_automaton,
     "op13_ball_kmeans": ball_kmeans.op13_ball_kmeans,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op2_repetition": repetition.ORACLE_SQL, "op9_html_main": html_main.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL, "op13_ball_kmeans": ball_kmeans.ORACLE_SQL}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op2_repetition": repetition.ORACLE_SQL, "op9_html_main": html_main.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL, "op11_tiered_search": tiered.ORACLE_SQL, "op13_ball_kmeans": ball_kmeans.ORACLE_SQL}
