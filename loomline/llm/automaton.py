@@ -60,11 +60,14 @@ class Automaton:
         self._spell()
 
     def _gadget(self, u: int, v: int, merged: int) -> None:
+        if not (self.live[u] and self.live[v] and self.arc(self.state[u], v)):
+            return  # u, v can't be read in a row already, so the merge never applies
+        if self.live[merged]:
+            raise ValueError(f"two merges give {self.labels[merged]!r}")
         new = len(self.parent)
-        if self.arc(self.state[u], v) and not self.live[merged]:
-            self.live[merged] = True
-            self.left[merged], self.born[merged] = u, new
-            self.state[merged] = self.first[merged] = self.state[v]
+        self.live[merged] = True
+        self.left[merged], self.born[merged] = u, new
+        self.state[merged] = self.first[merged] = self.state[v]
         self.parent.append(self.state[u])
         self.lost.append(v)
         self.owner.append(u)

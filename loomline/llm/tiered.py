@@ -89,7 +89,7 @@ def _cut(values: np.ndarray, starts: np.ndarray, dtype: str) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(borders.astype(np.int32)), pa.py_buffer(data.tobytes())])
 
 
-def _segment(seg: int, ids: list[int | None], texts: list[np.ndarray], lexicon: _Lexicon, n_docs: int, n_terms: int) -> pa.RecordBatch:
+def _segment(seg: int, ids: list[int | None], texts: list[np.ndarray], lexicon: _Lexicon, n_docs: int, n_terms: int, whole: int) -> pa.RecordBatch:
     """The rows of a segment: one of tier -1 with ids and lengths of its documents, and one per term and tier."""
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
     lengths = np.array([len(texts[i]) for i in order], np.int64)
@@ -105,7 +105,7 @@ def _segment(seg: int, ids: list[int | None], texts: list[np.ndarray], lexicon:
     starts = np.flatnonzero(np.diff(term, prepend=-1))
     sizes = np.diff(starts, append=len(term))
     at, size = np.arange(len(term)) - np.repeat(starts, sizes), np.repeat(sizes, sizes)
-    high = np.maximum(WHOLE, -(-size // 16))
+    high = np.maximum(whole, -(-size // 16))
     tier = (at >= high).astype(np.int64) + (at >= high + size // 4)
     heads = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(tier, prepend=-1) != 0))
     ends = np.append(heads[1:], len(term))
@@ -135,25 +135,28 @@ class TieredIndex:
     n_terms: int
 
 
-def build(docs: DataFrame) -> TieredIndex:
-    """The index of all documents and all terms, as a table with a folder per tier."""
+def build(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES, whole: int = WHOLE) -> TieredIndex:
+    """The index of all documents and all terms, as a table with a folder per tier.
+
+    A segment has at most ``segment_bytes`` of text, or one document; lists of up to ``whole`` postings are all tier 0.
+    """
     n_docs, n_terms = statistics(docs)
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg, held, ids, texts, lexicon = TaskContext.get().partitionId() << 24, 0, [], [], _Lexicon()
         for batch in (p for b in batches for p in slices(b, 1)):
             data, ends = _bytes(batch.column(1))
-            whole = data.tobytes().translate(_LOWER)
+            plain = data.tobytes().translate(_LOWER)
             for doc_id, begin, end in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
-                if words := whole[begin:end].split():
-                    if ids and (held + end - begin > SEGMENT_BYTES or len(ids) >= SEGMENT_DOCS):
-                        yield _segment(seg, ids, texts, lexicon, n_docs, n_terms)
+                if words := plain[begin:end].split():
+                    if ids and (held + end - begin > segment_bytes or len(ids) >= SEGMENT_DOCS):
+                        yield _segment(seg, ids, texts, lexicon, n_docs, n_terms, whole)
                         seg, held, ids, texts, lexicon = seg + 1, 0, [], [], _Lexicon()
                     ids.append(doc_id)
                     texts.append(np.fromiter(map(lexicon.__getitem__, words), np.int32, len(words)))
                     held += end - begin
         if ids:
-            yield _segment(seg, ids, texts, lexicon, n_docs, n_terms)
+            yield _segment(seg, ids, texts, lexicon, n_docs, n_terms, whole)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(index, "tier int, term string, seg long, n long, docs binary, counts binary, rest long")
     return TieredIndex(materialize(rows.sortWithinPartitions("tier", "term"), "tiers", "tier", compression="zstd"), n_docs, n_terms)
@@ -205,8 +208,11 @@ def _score(lists: DataFrame, segments: DataFrame, index: TieredIndex, k: int) ->
     return lists.groupBy("part", "seg").cogroup(segments.groupBy("part", "seg")).applyInArrow(score, _ROWS)
 
 
-def search(index: TieredIndex, items: DataFrame, k: int = K) -> DataFrame:
-    """item_id, rank, doc_id, score: each item's k best documents with a score above 0."""
+def search(index: TieredIndex, items: DataFrame, k: int = K, falls: list[int] | None = None) -> DataFrame:
+    """item_id, rank, doc_id, score: each item's k best documents with a score above 0.
+
+    ``falls`` receives, per tier after the first, in how many (item, segment) pairs that tier was read.
+    """
     spark = items.sparkSession
     own = materialize(items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().withColumn("qid", F.monotonically_increasing_id()), "items")
     parts = max(1, -(-own.count() // GROUP))
@@ -235,6 +241,8 @@ def search(index: TieredIndex, items: DataFrame, k: int = K) -> DataFrame:
         least = documents.select("qid", "score", F.row_number().over(order).alias("r")).where(F.col("r") <= k).where(F.col("r") == k).select("qid", F.col("score").alias("least"))
         bounds = rows.where("place = -1").join(least, "qid", "left").where("score >= coalesce(least, 1)").select("qid", "seg")
         unproven = materialize(bounds, "unproven")
+        if falls is not None:
+            falls.append(unproven.count())
         if not unproven.take(1):
             break
         before = rows
