@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from loomline.functions import scores, text
 from loomline.operators import retrieval as r
 from loomline.operators import selection
-from loomline.operators.ranking import rank_in_groups, top_per_group
+from loomline.operators.ranking import rank_in_groups
+from loomline.operators.work import written
 from loomline.plans import sqltext
 from loomline.registry import Tables, query
 
@@ -284,35 +285,39 @@ def rank_score(t: Tables) -> DataFrame:
 
 
 def _per_query(t: Tables) -> DataFrame:
-    """The candidates of each query (one per source), as a search returns them: the 200 best, with id, score, tokens, file, section."""
+    """All candidates of each query (one per source): id, score, tokens, file, section."""
     rows = t.documents.select(F.regexp_extract("source", r"\d+", 0).cast("long").alias("query_id"), F.col("doc_id").alias("id"), F.round(scores.set_cosine(F.array(*[F.lit(x) for x in TERMS]), text.tokens(F.col("text"))), 6).alias("score"), text.token_estimate(F.col("text")).alias("tokens"), F.col("lang").alias("file"), (F.col("doc_id") % 7).alias("section"))
-    return top_per_group(rows.where("score > 0"), ["query_id"], 200, F.desc("score"), F.col("id"))
+    return rows.where("score > 0")
 
 
 @query("e9_budget_fold")
 def budget_fold(t: Tables) -> DataFrame:
-    return selection.fold_budget(_per_query(t), 4000, 8)
+    return selection.fold_budget(written(_per_query(t)), 4000, 8)
 
 
 @query("e10_floors_and_caps")
 def floors_and_caps(t: Tables) -> DataFrame:
-    return selection.select_per_query(_per_query(t), lambda c: selection.floors_and_caps(sorted(c, key=lambda x: x["id"]), 6000, 10))
+    return selection.choose_floors_and_caps(written(_per_query(t)), 6000, 10)
 
 
 @query("h26_sufficient_set")
 def sufficient_set(t: Tables) -> DataFrame:
     words = t.documents.select(F.col("doc_id").alias("id"), F.array_intersect(F.array(*[F.lit(x) for x in sorted(set(TERMS))]), text.tokens(F.col("text"))).alias("terms"))
-    rows = _per_query(t).join(words, "id")
-    return selection.select_per_query(rows, lambda c: selection.smallest_sufficient(c, set(TERMS)))
+    return selection.choose_sufficient(_per_query(t).join(words, "id"), set(TERMS))
 
 
 @query("h33_pack_context")
 def pack_context(t: Tables) -> DataFrame:
     # A passage is known by its digest: texts aren't gathered.
     marks = t.documents.select(F.col("doc_id").alias("id"), F.sha2(F.trim("text"), 256).alias("text"))
-    return selection.select_per_query(_per_query(t).join(marks, "id"), lambda c: selection.pack_context(c, 5000, 12))
+    return selection.choose_packed(_per_query(t).join(marks, "id"), 5000, 12)
 
 
-@query("h34_evict_blocks")
+_SCORED = f"""c AS (SELECT CAST(regexp_extract(source, '\\d+') AS BIGINT) AS query_id, doc_id AS id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, doc_id % 9 + 1 AS priority
+FROM (SELECT *, list_distinct({sqltext.tokens('text')}) AS w FROM documents) WHERE len(list_intersect({sorted(set(TERMS))}, w)) > 0)"""
+
+
+@query("h34_evict_blocks", f"""WITH {_SCORED.replace(chr(92) * 2, chr(92))}, g AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id) - coalesce(sum(CASE WHEN priority > 4 THEN tokens END) OVER (PARTITION BY query_id ORDER BY priority DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over FROM c)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY priority, id) - 1 AS INT) AS place, id FROM g WHERE priority <= 4 OR left_over <= 9000""")
 def evict_blocks(t: Tables) -> DataFrame:
-    return selection.select_per_query(_per_query(t).withColumn("priority", F.col("id") % 9 + 1), lambda c: selection.evict_blocks(c, 9000))
+    return selection.evict_blocks(_per_query(t).withColumn("priority", F.col("id") % 9 + 1), 9000)

@@ -73,8 +73,8 @@ def test_selection_under_a_budget(spark):
     assert {(r["query_id"], r["id"]) for r in selection.fold_budget(rows, 100, 4).collect()} == {(1, 1), (1, 3), (2, 9)}
     some = [_candidate(1, 0.9, 10), _candidate(2, 0.8, 10, text="1"), _candidate(3, 0.7, 95), _candidate(4, 0.6, 10)]
     assert [c["id"] for c in selection.pack_context(some, 100, 5)] == [1, 4]
-    blocks = [{"id": i, "priority": p, "tokens": 10} for i, p in enumerate([1, 9, 4, 6])]
-    assert [b["id"] for b in selection.evict_blocks(blocks, 20)] == [0, 2] == [b["id"] for b in selection.evict_blocks(blocks, 5)]
+    blocks = spark.createDataFrame([(1, i, p, 10) for i, p in enumerate([1, 9, 4, 6])], "query_id long, id long, priority long, tokens long")
+    assert [[r["id"] for r in selection.evict_blocks(blocks, n).orderBy("place").collect()] for n in (20, 5)] == [[0, 2], [0, 2]]
     cover = [_candidate(1, 0.9, 1, terms=["x"]), _candidate(2, 0.5, 1, terms=["x", "y", "z"]), _candidate(3, 0.4, 1, terms=["q"])]
     assert [c["id"] for c in selection.smallest_sufficient(cover, {"x", "y", "z"}, 5, 2)] == [2, 1]
     floors = [_candidate(i, 1 - i / 10, 10, file="a" if i < 4 else "b") for i in range(6)]
