@@ -211,3 +211,10 @@ def grounding(body: Column, source: Column, words) -> Column:
     """Share of the body's different words that stand in the source; 0 for a body without words."""
     own, lower = F.array_distinct(words(body)), F.lower(source)
     return F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.filter(own, lambda w: F.contains(lower, w))) / F.greatest(F.size(own), F.lit(1)).cast("double"))
+
+# What a question may begin with, and words that no section is looked up by.
+CONVERSATIONAL_OPENING = r"(?i)^\s*((hey|so|well|anyway|quick question)[,:]?\s+)*((do you (happen to )?know|can you tell me|could you tell me|would you know|i('m| am) curious|i was wondering|i('d| would) like to know)[,:]?\s+)(?=(how|what|which|where|when|why)\b)"
+SECTION_STOPWORDS = (
+    "what which where when how why who whom used use using uses was were are is the for and with this that these those does did "
+    "has have had can could would should about role main project thesis paper work study perform many much research"
+).split()

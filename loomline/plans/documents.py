@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import scores, text
-from loomline.operators import chunks, graph
+from loomline.functions.rules import SECTION_STOPWORDS
+from loomline.operators import chunks, graph, sections
 from loomline.registry import Tables, query
 
 _STOP = "the|a|an|to|for|and|or|of|in|on|by|with|from"
@@ -162,3 +163,49 @@ def sentence_chunks(t: Tables) -> DataFrame:
 def document_map(t: Tables) -> DataFrame:
     marked = F.concat(F.lit("[Page "), (F.col("doc_id") % 7 + 1).cast("string"), F.lit("] "), "text")
     return chunks.chunk_documents(t.documents.select("doc_id", marked.alias("text")), chunks.page_sections)
+
+
+_TITLED = """ln AS (SELECT doc_id AS map_id, i AS pos, string_split(text, chr(10))[i] AS body FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
+sec AS (SELECT map_id, CAST(pos AS VARCHAR) AS num, pos, array_to_string(string_split(body, ' ')[1:4], ' ') || CASE WHEN pos % 2 = 0 THEN ' Part ' || CAST(pos % 3 AS VARCHAR) ELSE '' END AS heading, lower(body) AS body FROM ln),
+ends AS (SELECT map_id, max(pos) AS last FROM ln GROUP BY 1),
+qs AS (SELECT map_id, 1 AS query_id, lower('what ' || array_to_string(string_split(body, ' ')[2:7], ' ')) AS q FROM ln JOIN ends USING (map_id) WHERE pos = last
+UNION ALL SELECT map_id, 2, lower('part 2 ' || array_to_string(string_split(body, ' ')[3:6], ' ')) FROM ln JOIN ends USING (map_id) WHERE pos = (last + 1) // 2)"""
+_LONG = "list_filter(string_split(regexp_replace({0}, '[^a-z0-9#-]+', ' ', 'g'), ' '), lambda w: length(w) > 2)"
+_ORDINALS = r"list_filter(regexp_split_to_array(regexp_replace({0}, '[^0-9\s]+', ' ', 'g'), '\s+'), lambda d: regexp_full_match(d, '\d{{1,2}}'))"
+_STOPPED = "[" + ", ".join(f"'{w}'" for w in SECTION_STOPWORDS) + "]"
+_SECTION_SQL = rf"""WITH {_TITLED}, s AS MATERIALIZED (SELECT map_id, num, pos, regexp_replace(heading, '^\d+(\.\d+)*\s+', '') AS heading, body FROM sec),
+q AS MATERIALIZED (SELECT *, list_distinct({_LONG.format('q')}) AS words, {_ORDINALS.format('q')} AS numbers FROM qs),
+tt AS MATERIALIZED (SELECT map_id, num, pos, unnest({_LONG.format('lower(heading)')}) AS tw, unnest(list_filter(string_split(regexp_replace(heading, '[^A-Za-z0-9#-]+', ' ', 'g'), ' '), lambda w: length(w) > 2)) AS own FROM s),
+df AS (SELECT map_id, tw, count(DISTINCT num) AS df FROM tt GROUP BY 1, 2),
+sc AS (SELECT map_id, query_id, num, pos, round(sum(CASE WHEN list_contains(words, tw) THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN contains(q, tw) THEN 0.5::DOUBLE ELSE 0 END) / sqrt(count(*)), 9) AS score,
+count(*) FILTER (WHERE list_contains(words, tw)) AS hits, bool_or((list_contains(words, tw) OR contains(q, tw)) AND df <= 2 AND (regexp_matches(tw, '[^a-z]') OR regexp_full_match(own, '[A-Z]{{2,}}'))) AS apart
+FROM tt JOIN df USING (map_id, tw) JOIN q USING (map_id) GROUP BY 1, 2, 3, 4),
+strong AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY map_id, query_id ORDER BY score DESC, pos) AS place FROM sc WHERE score >= 1 AND (hits >= 2 OR apart) QUALIFY place <= 4),
+f AS MATERIALIZED (SELECT *, list_distinct(regexp_extract_all(body, '[a-z][a-z-]*')) AS own FROM s WHERE body <> ''),
+p AS MATERIALIZED (SELECT map_id, word, num, pos FROM (SELECT DISTINCT map_id, unnest(words) AS word FROM q) a JOIN f USING (map_id) WHERE contains(body, word) OR (length(word) >= 4 AND NOT regexp_matches(word, '\d')
+AND len(list_filter(own, lambda w: length(w) >= 4 AND ((abs(length(w) - length(word)) <= 1 AND levenshtein(w, word) = 1) OR (suffix(word, 'y') AND w = word[:-2] || 'ies')))) > 0)),
+n AS (SELECT map_id, word, count(*) AS n FROM p GROUP BY 1, 2), z AS (SELECT map_id, count(*) AS total FROM f GROUP BY 1),
+idf AS (SELECT map_id, query_id, num, sum(ln((total + 1) / (n + 1)::DOUBLE)) AS idf FROM (SELECT map_id, query_id, unnest(list_filter(words, lambda w: NOT list_contains({_STOPPED}, w))) AS word FROM q) c JOIN p USING (map_id, word) JOIN n USING (map_id, word) JOIN z USING (map_id) GROUP BY 1, 2, 3),
+pool AS (SELECT map_id, query_id, num, pos, len(numbers) > 0 AS counted, len(list_filter({_ORDINALS.format('lower(heading)')}, lambda d: NOT list_contains(numbers, d))) > 0 AS wrong, coalesce(idf, 0) AS idf,
+len(list_filter(words, lambda w: NOT list_contains({_STOPPED}, w) AND contains(lower(heading), w))) AS titled FROM q JOIN f USING (map_id) LEFT JOIN idf USING (map_id, query_id, num) WHERE len(list_filter(words, lambda w: NOT list_contains({_STOPPED}, w))) > 0),
+b AS (SELECT *, round(idf + 2.0::DOUBLE * titled - CASE WHEN counted AND wrong THEN 3.0::DOUBLE ELSE 0 END, 9) AS score FROM pool),
+c AS (SELECT *, max(score) OVER (PARTITION BY map_id, query_id) AS top FROM b WHERE score > 0 OR (counted AND NOT wrong)),
+k AS (SELECT *, row_number() OVER (PARTITION BY map_id, query_id ORDER BY score DESC, pos) AS place FROM c WHERE score >= greatest(top * 0.8, top - 1.5) QUALIFY place <= 3),
+known AS (SELECT map_id, query_id, list(DISTINCT tw) AS known FROM strong JOIN tt USING (map_id, num) GROUP BY 1, 2),
+more AS (SELECT DISTINCT map_id, query_id, num, p.pos FROM (SELECT map_id, query_id, unnest(list_filter(words, lambda w: NOT list_contains(known, w))) AS word FROM q JOIN known USING (map_id, query_id)) w JOIN p USING (map_id, word) WHERE (map_id, query_id, num) NOT IN (SELECT (map_id, query_id, num) FROM strong)),
+m AS (SELECT map_id, query_id, num, 0 AS kind, place AS at_ FROM strong UNION ALL SELECT map_id, query_id, num, 1, pos FROM more UNION ALL SELECT map_id, query_id, num, 0, place FROM k WHERE (map_id, query_id) NOT IN (SELECT (map_id, query_id) FROM strong))
+SELECT map_id, query_id, CAST(row_number() OVER (PARTITION BY map_id, query_id ORDER BY kind, at_) AS INT) AS place, num FROM m QUALIFY place <= 4"""
+
+
+@query("h30_section_targets", _SECTION_SQL)
+def section_targets(t: Tables) -> DataFrame:
+    """Lines of documents as sections, titled by their first words; each map is asked for its last line and for a line in the middle."""
+    lines = t.documents.select(F.col("doc_id").alias("map_id"), F.posexplode(F.split("text", "\n")).alias("at", "body")).withColumn("pos", F.col("at") + 1)
+    some = lambda a, n: F.array_join(F.slice(F.split("body", " "), a, n), " ")
+    part = F.when(F.col("pos") % 2 == 0, F.concat(F.lit(" Part "), (F.col("pos") % 3).cast("string"))).otherwise("")
+    titled = lines.select("map_id", F.col("pos").cast("string").alias("num"), "pos", F.concat(some(1, 4), part).alias("heading"), "body")
+    ends = t.documents.select(F.col("doc_id").alias("map_id"), F.size(F.split("text", "\n")).alias("last"))
+    asked = lines.join(ends, "map_id")
+    one = asked.where("pos = last").select("map_id", F.lit(1).alias("query_id"), F.concat(F.lit("Can you tell me what "), some(2, 6)).alias("text"))
+    two = asked.where("pos = (last + 1) div 2").select("map_id", F.lit(2).alias("query_id"), F.concat(F.lit("Part 2 "), some(3, 4)).alias("text"))
+    return sections.target_sections(titled, one.unionByName(two))
