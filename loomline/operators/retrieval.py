@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import scores, text
-from loomline.operators.work import written
 
 
 def query_terms(query: str) -> list[str]:
@@ -30,33 +29,6 @@ def term_counts(docs: DataFrame, keys: list[str], terms: list[str]) -> DataFrame
     return hits.select(*keys, "len", *[count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
 
 
-def bm25(docs: DataFrame, query: str, key: str = "doc_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(key, score) of every document with a query term. A repeated query term counts as often as it stands there.
-
-    Only the query's terms are counted, in each document's own row; statistics are one aggregated row. No document and
-    no posting list is shuffled.
-    """
-    terms = query_terms(query)
-    distinct = list(dict.fromkeys(terms))
-    counted = written(term_counts(docs, [key], distinct))  # a few numbers a document; texts are read once
-    stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(distinct))])
-    found = sum((F.col(f"tf{i}") for i in range(len(distinct))), F.lit(0)) > 0
-    rows = counted.where(found).crossJoin(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
-    for i, term in enumerate(distinct):
-        idf = F.greatest(F.lit(0.0), F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)))
-        tf = F.col(f"tf{i}")
-        score = score + terms.count(term) * idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    return rows.select(key, score.alias("score"))
-
-
-def postings(docs: DataFrame, key: str = "doc_id", terms: list[str] | None = None) -> DataFrame:
-    """(term, key, tf, len): the inverted index, for many queries at once; of the given terms only, if there are any."""
-    words = docs.select(key, once(text.tokens(F.col("text"))).alias("w"))
-    wanted = F.col("w") if terms is None else F.filter("w", lambda x: x.isin(terms))
-    return words.select(key, F.size("w").alias("len"), F.explode(wanted).alias("term")).groupBy("term", key, "len").agg(F.count("*").alias("tf"))
-
-
 def bm25_many(index: DataFrame, queries: DataFrame, n_docs: int, avg_len: float, key: str = "doc_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, key, score) for a table of (query_id, term) against an index: one join by term, one aggregate.
 
@@ -71,12 +43,6 @@ def bm25_many(index: DataFrame, queries: DataFrame, n_docs: int, avg_len: float,
     return used.join(weighted, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
 
 
-def all_terms(docs: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
-    """Documents that hold every term of the query."""
-    terms = F.array(*[F.lit(t) for t in dict.fromkeys(query_terms(query))])
-    return docs.where(F.size(F.array_except(terms, text.tokens(F.col("text")))) == 0).select(key)
-
-
 def cosine_search(vectors: DataFrame, query: DataFrame, key: str = "vec_id", floor: float | None = None, scope: Column | None = None) -> DataFrame:
     """(key, similarity) of all vectors in scope against one query vector (a one-row frame with column ``q``)."""
     rows = vectors if scope is None else vectors.where(scope)

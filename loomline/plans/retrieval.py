@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomline.functions import scores, text
 from loomline.operators import retrieval as r
 from loomline.operators import selection
+from loomline.operators.postings import PostingIndex, kept_index
 from loomline.operators.ranking import rank_in_groups
 from loomline.operators.work import written
 from loomline.plans import sqltext
@@ -36,8 +37,12 @@ def _semantic(t: Tables) -> DataFrame:
     return r.cosine_search(t.embeddings.where(F.col("vec_id") != VECTOR_ID), _query_vector(t)).select(F.col("vec_id").alias("doc_id"), F.col("similarity").alias("semantic"))
 
 
+def _index(t: Tables) -> PostingIndex:
+    return kept_index(t.spark, f"{t.folder}/documents.parquet")
+
+
 def _lexical(t: Tables) -> DataFrame:
-    return r.normalise_by_max(r.bm25(t.documents.select("doc_id", "text"), QUERY), "score").withColumnRenamed("score", "lexical")
+    return r.normalise_by_max(_index(t).scores(TERMS).withColumnRenamed("key", "doc_id"), "score").withColumnRenamed("score", "lexical")
 
 
 def _fused(t: Tables) -> DataFrame:
@@ -58,15 +63,13 @@ def tokens(t: Tables) -> DataFrame:
 
 @query("d12_term_statistics", f"""SELECT term, count(*) AS df, sum(tf) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({sqltext.tokens('text')}) AS term FROM documents) GROUP BY 1, 2) GROUP BY term""")
 def term_statistics(t: Tables) -> DataFrame:
-    """A document's words are sorted in its row, so that the first of each can be told: one aggregate, no posting list."""
-    words = t.documents.select(r.once(F.array_sort(text.tokens(F.col("text")))).alias("w"))
-    marked = F.transform("w", lambda x, i: F.struct(x.alias("term"), (~x.eqNullSafe(F.get("w", i - 1))).cast("long").alias("new")))
-    return words.select(F.inline(marked)).groupBy("term").agg(F.sum("new").alias("df"), F.count("*").alias("cf"))
+    """From the counts of the stored index's blocks; their postings aren't read."""
+    return _index(t).blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
 
 
 @query("h1_bm25_topk", f"SELECT doc_id, round(score, 6) AS score FROM ({_BM25}) ORDER BY round(score, 6) DESC, doc_id LIMIT 10")
 def bm25_topk(t: Tables) -> DataFrame:
-    return r.top(_six(r.bm25(t.documents, QUERY), "score"), 10, F.desc("score"), F.col("doc_id"))
+    return _index(t).top(TERMS, 10).withColumnRenamed("key", "doc_id")
 
 
 @query("h2_bm25_norm", f"WITH {_LEX} SELECT doc_id, round(lexical, 6) AS lexical FROM lex")
@@ -79,20 +82,22 @@ _MANY = {1: "the thing with reason", 2: "and from that which", 3: "this was then
 
 @query("h1_bm25_many", " UNION ALL ".join(f"SELECT {q} AS query_id, doc_id, round(score, 6) AS score FROM ({sqltext.bm25(r.query_terms(s))})" for q, s in _MANY.items()))
 def bm25_many(t: Tables) -> DataFrame:
-    index = r.postings(t.documents, terms=sorted({w for q in _MANY.values() for w in r.query_terms(q)}))
-    stats = t.documents.select(F.size(text.tokens(F.col("text"))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
+    index = _index(t)
+    rows = index.postings(sorted({w for q in _MANY.values() for w in r.query_terms(q)})).withColumnRenamed("key", "doc_id")
     wanted = t.spark.createDataFrame([(q, w) for q, s in _MANY.items() for w in r.query_terms(s)], "query_id int, term string")
-    return _six(r.bm25_many(index, wanted, stats["n"], stats["avg"]), "score")
+    return _six(r.bm25_many(rows, wanted, index.n_docs, index.avg_len), "score")
 
 
 @query("h3_any_term", f"SELECT doc_id, round(score, 6) AS score FROM ({sqltext.bm25(TERMS, 1.2)}) ORDER BY round(score, 6) DESC, doc_id LIMIT 20")
 def any_term(t: Tables) -> DataFrame:
-    return r.top(_six(r.bm25(t.documents, QUERY, k1=1.2), "score"), 20, F.desc("score"), F.col("doc_id"))
+    return _index(t).top(TERMS, 20, k1=1.2).withColumnRenamed("key", "doc_id")
 
 
-@query("h4_all_terms", f"SELECT doc_id FROM (SELECT doc_id, {sqltext.tokens('text')} AS w FROM documents WHERE lang = 'en') WHERE list_contains(w, 'the') AND list_contains(w, 'with') AND list_contains(w, 'from')")
+@query("h4_all_terms", f"SELECT doc_id FROM (SELECT doc_id, {sqltext.tokens('text')} AS w FROM documents) WHERE list_contains(w, 'the') AND list_contains(w, 'with') AND list_contains(w, 'from')")
 def all_terms(t: Tables) -> DataFrame:
-    return r.all_terms(t.documents.where("lang = 'en'"), "the with from")
+    """The index's postings of each term, met in all of them."""
+    terms = r.query_terms("the with from")
+    return _index(t).postings(terms).groupBy(F.col("key").alias("doc_id")).agg(F.count("*").alias("n")).where(F.col("n") == len(terms)).select("doc_id")
 
 
 @query("h5_vector_topk", f"WITH {_SEM} SELECT doc_id AS vec_id, round(semantic, 6) AS similarity FROM sem WHERE semantic >= 0.05 ORDER BY round(semantic, 6) DESC, vec_id LIMIT 10")
