@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions import text
-from loomline.operators.work import shared_folder
+from loomline.operators.work import dropped, kept, shared_folder
 
 BUCKETS, REACH, STRIPE = 64, 4096, 256  # term folders; ids in a block; blocks that go to one task
 K1, B = 1.5, 0.75
@@ -118,29 +118,10 @@ def write_index(docs: DataFrame, key: str = "doc_id", reach: int = REACH) -> Pos
     flat = blocks.select("bucket", "term", "range", "n", "cf", "tf_top", "len_least", *[F.col(f"p.{c}").alias(f"{c}s") for c in ("id", "row", "tf", "len")])
     flat.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{folder}/blocks")
     sizes = held.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/counted")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    dropped(spark, f"{folder}/counted")
     return PostingIndex(spark.read.schema(flat.schema).parquet(f"{folder}/blocks"), sizes["n"], sizes["avg"] or 1.0)
 
 
-_KEPT: dict[tuple, PostingIndex] = {}
-
-
 def kept_index(spark: SparkSession, path: str) -> PostingIndex:
-    """The index of a table of documents, written once per application and state of its files (names, sizes, times)."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    state = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(place))
-    key = (spark.sparkContext.applicationId, path, tuple(state))
-    known = _KEPT.get(key)
-    if known is None or not _stands(known):
-        known = _KEPT[key] = write_index(spark.read.parquet(path).select("doc_id", "text"))
-    return known
-
-
-def _stands(index: PostingIndex) -> bool:
-    spark, found = index.blocks.sparkSession, index.blocks.inputFiles()
-    if not found:
-        return index.n_docs == 0
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found[0])
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    """The index of a table of documents, written once per application and state of the table."""
+    return kept(spark, path, "postings", lambda docs: write_index(docs.select("doc_id", "text")), lambda index: index.blocks)

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def shared_folder(spark: SparkSession, label: str = "work") -> str:
     """A new folder below ``spark.checkpoint.dir``; only local mode may leave that unset."""
@@ -23,3 +27,34 @@ def written(rows: DataFrame) -> DataFrame:
     folder = shared_folder(rows.sparkSession)
     rows.write.parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def _files(spark: SparkSession, path: str):
+    """A path and its file system, as Spark sees them."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    place, files = _files(spark, path)
+    files.delete(place, True)
+
+
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(spark: SparkSession, path: str, kind: str, make: Callable[[DataFrame], T], rows: Callable[[T], DataFrame]) -> T:
+    """What ``make`` built from the table at ``path``, built once per application and state of its files (names, sizes,
+    times), and again if its own table (``rows``) is gone."""
+    place, files = _files(spark, path)
+    state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(place)))
+    key = (spark.sparkContext.applicationId, path, kind, state)
+    known = _KEPT.get(key)
+    if known is not None:
+        own = rows(known).inputFiles()
+        if own:
+            first, where = _files(spark, own[0])
+            known = known if where.exists(first) else None
+    if known is None:
+        known = _KEPT[key] = make(spark.read.parquet(path))
+    return known

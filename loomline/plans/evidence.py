@@ -28,8 +28,8 @@ def index_scan(t: Tables) -> DataFrame:
 
 @query("a4_vector_scan", f"WITH {plans._SEM} SELECT doc_id AS vec_id, round(1 - semantic, 6) AS distance FROM sem ORDER BY 2, 1 LIMIT 15")
 def vector_scan(t: Tables) -> DataFrame:
-    hits = plans._semantic(t).select(F.col("doc_id").alias("vec_id"), F.round(1 - F.col("semantic"), 6).alias("distance"))
-    return r.top(hits, 15, F.col("distance"), F.col("vec_id"))
+    hits = plans._vectors(t).top(plans._own_vector(t), 15, leave=F.col("vec_id") == plans.VECTOR_ID)
+    return hits.select("vec_id", F.round(1 - F.col("similarity"), 6).alias("distance"))
 
 
 @query("a6_document_source", r"SELECT '.txt' AS extension, count(*) AS lines, sum(length(text)) AS chars, count(*) FILTER (WHERE text = '') AS empty FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM documents)")

@@ -14,6 +14,7 @@ from loomline.operators import retrieval as r
 from loomline.operators import selection
 from loomline.operators.postings import PostingIndex, kept_index
 from loomline.operators.ranking import rank_in_groups
+from loomline.operators.vectors import VectorIndex, kept_vectors
 from loomline.operators.work import written
 from loomline.plans import sqltext
 from loomline.registry import Tables, query
@@ -33,6 +34,15 @@ def _query_vector(t: Tables) -> DataFrame:
     return t.embeddings.where(F.col("vec_id") == VECTOR_ID).select(F.col("embedding").alias("q"))
 
 
+def _vectors(t: Tables) -> VectorIndex:
+    return kept_vectors(t.spark, f"{t.folder}/embeddings.parquet")
+
+
+def _own_vector(t: Tables) -> list[float]:
+    """The query's vector: one row."""
+    return _query_vector(t).first()["q"]
+
+
 def _semantic(t: Tables) -> DataFrame:
     return r.cosine_search(t.embeddings.where(F.col("vec_id") != VECTOR_ID), _query_vector(t)).select(F.col("vec_id").alias("doc_id"), F.col("similarity").alias("semantic"))
 
@@ -102,14 +112,12 @@ def all_terms(t: Tables) -> DataFrame:
 
 @query("h5_vector_topk", f"WITH {_SEM} SELECT doc_id AS vec_id, round(semantic, 6) AS similarity FROM sem WHERE semantic >= 0.05 ORDER BY round(semantic, 6) DESC, vec_id LIMIT 10")
 def vector_topk(t: Tables) -> DataFrame:
-    hits = _six(r.cosine_search(t.embeddings.where(F.col("vec_id") != VECTOR_ID), _query_vector(t), floor=0.05), "similarity")
-    return r.top(hits, 10, F.desc("similarity"), F.col("vec_id"))
+    return _vectors(t).top(_own_vector(t), 10, floor=0.05, leave=F.col("vec_id") == VECTOR_ID)
 
 
 @query("h5_vector_scoped", f"WITH {_SEM} SELECT doc_id AS vec_id, round(semantic, 6) AS similarity FROM sem JOIN embeddings ON vec_id = doc_id WHERE label = 3 ORDER BY 2 DESC, 1 LIMIT 10")
 def vector_scoped(t: Tables) -> DataFrame:
-    hits = _six(r.cosine_search(t.embeddings.where(F.col("vec_id") != VECTOR_ID), _query_vector(t), scope=F.col("label") == 3), "similarity")
-    return r.top(hits, 10, F.desc("similarity"), F.col("vec_id"))
+    return _vectors(t).top(_own_vector(t), 10, scope=F.col("label") == 3, leave=F.col("vec_id") == VECTOR_ID)
 
 
 @query("h6_summary_search", f"""WITH m AS (SELECT label, list(avg_v ORDER BY i) AS c FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS avg_v FROM embeddings, unnest(range(1, 65)) AS u(i) GROUP BY 1, 2) GROUP BY 1)
