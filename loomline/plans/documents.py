@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import scores, text
 from loomline.functions.rules import SECTION_STOPWORDS
-from loomline.operators import chunks, graph, sections
+from loomline.operators import chunks, graph, sections, similarity
 from loomline.registry import Tables, query
 
 _STOP = "the|a|an|to|for|and|or|of|in|on|by|with|from"
@@ -108,17 +108,11 @@ _WORDS = rf"list_distinct(list_filter(regexp_split_to_array(regexp_replace(regex
 h AS (SELECT doc_id, item_id, len(list_intersect(l.w, b.w)) / CAST(least(len(l.w), len(b.w)) AS DOUBLE) AS c FROM l, b WHERE least(len(l.w), len(b.w)) >= 3)
 SELECT doc_id, min(item_id) AS item_id FROM h WHERE c >= 0.6 GROUP BY doc_id""")
 def similarity_join(t: Tables) -> DataFrame:
-    """Lines that share 60 % of the smaller word set with a reference passage; the first passage counts.
-
-    Words are joined, so only pairs that share a word meet; counts are made before sets are compared.
-    """
+    """Lines that share 60 % of the smaller word set with a reference passage; the first passage counts."""
     words = lambda c: text.overlap_words(F.col(c), _STOP)
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).select("doc_id", "line", words("t").alias("w")).where(F.size("w") >= 3)
     items = t.benchmark.select("item_id", words("text").alias("w")).where(F.size("w") >= 3)
-    left = lines.select("doc_id", "line", F.size("w").alias("n"), F.explode("w").alias("word"))
-    right = items.select("item_id", F.size("w").alias("m"), F.explode("w").alias("word"))
-    shared = left.join(right, "word").groupBy("doc_id", "line", "item_id", "n", "m").agg(F.count("*").alias("k"))
-    return shared.where(F.col("k") / F.least("n", "m") >= 0.6).groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
+    return similarity.containment_join(lines, ["doc_id", "line"], items, ["item_id"]).groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
 
 
 @query("g5_two_hop", """WITH e AS (SELECT l_suppkey AS src, l_partkey + 1000000 AS dst, min(l_orderkey) AS rel FROM lineitem GROUP BY 1, 2), b AS (SELECT src, dst, rel FROM e UNION ALL SELECT dst, src, rel FROM e),
@@ -130,9 +124,9 @@ def two_hop(t: Tables) -> DataFrame:
     return graph.expand(relations, start)
 
 
-@query("i36_entity_rollup", r"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS name FROM documents WHERE lang = 'en') SELECT lower(name) AS slug, min(name) AS name, count(DISTINCT doc_id) AS cards FROM e GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3""")
+@query("i36_entity_rollup", r"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS name FROM documents) SELECT lower(name) AS slug, min(name) AS name, count(DISTINCT doc_id) AS cards FROM e GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3""")
 def entity_rollup(t: Tables) -> DataFrame:
-    names = t.documents.where("lang = 'en'").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), 0)).alias("name"))
+    names = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), 0)).alias("name"))
     rolled = names.groupBy(F.lower("name").alias("slug")).agg(F.min_by("name", F.struct(F.length("name"), "name")).alias("name"), F.count_distinct("doc_id").alias("cards"))
     return rolled.where("cards >= 3")
 
