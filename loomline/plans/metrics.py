@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import scores
+from loomline.operators.quantiles import quantiles
 from loomline.registry import Tables, query
 
 
@@ -54,22 +55,20 @@ def top_by_frequency(t: Tables) -> DataFrame:
 
 @query("d16_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def percentiles(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    found = quantiles(t.events, ["event_type"], "value", {"p50": ("linear", 0.5), "p95": ("linear", 0.95)})
+    return found.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("d17_floor_quantiles", "SELECT event_type, s[least(len(s), CAST(floor(len(s) * 0.5) AS BIGINT) + 1)] AS p50, s[least(len(s), CAST(floor(len(s) * 0.95) AS BIGINT) + 1)] AS p95 FROM (SELECT event_type, list_sort(list(value)) AS s FROM events WHERE value IS NOT NULL GROUP BY 1)")
 def floor_quantiles(t: Tables) -> DataFrame:
-    """The value at rank floor(n * q): counts per value are summed in order, so no group is gathered in an array."""
-    counts = t.events.where("value IS NOT NULL").groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("event_type").orderBy("value")
-    ranked = counts.select("event_type", "value", F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy("event_type")).alias("all"))
-    at = lambda q: F.min(F.when(F.col("upto") > F.least(F.col("all") - 1, F.floor(F.col("all") * q)), F.col("value")))
-    return ranked.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    return quantiles(t.events, ["event_type"], "value", {"p50": ("floor", 0.5), "p95": ("floor", 0.95)})
 
 
 @query("d18_distribution", "SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(stddev_pop(o_totalprice), 4) AS spread, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1")
 def distribution(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_orderpriority").agg(F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.percentile("o_totalprice", 0.5), 4).alias("median"), F.round(F.stddev_pop("o_totalprice"), 4).alias("spread"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+    plain = t.orders.groupBy("o_orderpriority").agg(F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.stddev_pop("o_totalprice"), 4).alias("spread"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+    middle = quantiles(t.orders, ["o_orderpriority"], "o_totalprice", {"median": ("linear", 0.5)})
+    return plain.join(middle, "o_orderpriority").withColumn("median", F.round("median", 4))
 
 
 @query("d19_rates", "SELECT user_id, round(count(*) FILTER (WHERE event_type = 'purchase') / nullif(CAST(count(*) FILTER (WHERE event_type = 'signup') AS DOUBLE), 0), 6) AS rate FROM events GROUP BY user_id")
@@ -82,7 +81,8 @@ def rates(t: Tables) -> DataFrame:
 SELECT model, round(0.45 * CASE WHEN max(latency) OVER () = min(latency) OVER () THEN 1 ELSE 1 - (latency - min(latency) OVER ()) / (max(latency) OVER () - min(latency) OVER ()) END + 0.45 * quality / 5 + 0.1 * success, 6) AS score FROM s""")
 def balanced_score(t: Tables) -> DataFrame:
     quality = F.when(F.col("o_orderstatus") == "F", 5.0).when(F.col("o_orderstatus") == "O", 3.0).otherwise(1.0)
-    models = t.orders.groupBy(F.col("o_orderpriority").alias("model")).agg(F.percentile("o_totalprice", 0.5).alias("latency"), F.avg(quality).alias("quality"), F.avg((F.col("o_orderstatus") != "P").cast("double")).alias("success"))
+    models = t.orders.groupBy(F.col("o_orderpriority").alias("model")).agg(F.avg(quality).alias("quality"), F.avg((F.col("o_orderstatus") != "P").cast("double")).alias("success"))
+    models = models.join(quantiles(t.orders.withColumnRenamed("o_orderpriority", "model"), ["model"], "o_totalprice", {"latency": ("linear", 0.5)}), "model")
     span = models.agg(F.min("latency").alias("lo"), F.max("latency").alias("hi"))
     latency = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise(1 - (F.col("latency") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)))
     return models.crossJoin(F.broadcast(span)).select("model", F.round(0.45 * latency + 0.45 * F.col("quality") / 5 + 0.1 * F.col("success"), 6).alias("score"))
@@ -98,7 +98,8 @@ def turn_counters(t: Tables) -> DataFrame:
 (SELECT user_id % 10 AS engine, count(*) AS turns, count(*) FILTER (WHERE event_type = 'error' AND value > 90) AS bad, quantile_disc(value, 0.95) AS p95, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS refused, avg(CASE WHEN event_type = 'signup' THEN 1.0 ELSE 0.0 END) AS fell_back FROM events GROUP BY 1)""")
 def abort_conditions(t: Tables) -> DataFrame:
     share = lambda s: F.avg((F.col("event_type") == s).cast("double"))
-    m = t.events.groupBy((F.col("user_id") % 10).alias("engine")).agg(F.count("*").alias("turns"), F.count_if((F.col("event_type") == "error") & (F.col("value") > 90)).alias("bad"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), share("error").alias("refused"), share("signup").alias("fell_back"))
+    m = t.events.groupBy((F.col("user_id") % 10).alias("engine")).agg(F.count("*").alias("turns"), F.count_if((F.col("event_type") == "error") & (F.col("value") > 90)).alias("bad"), share("error").alias("refused"), share("signup").alias("fell_back"))
+    m = m.join(quantiles(t.events.withColumn("engine", F.col("user_id") % 10), ["engine"], "value", {"p95": ("least", 0.95)}), "engine", "left")
     enough = F.col("turns") >= 50
     return m.select("engine", (~enough).alias("insufficient"), (enough & (F.col("bad") > 0)).alias("contamination"), (enough & (F.col("p95") > 1.2 * 40)).alias("slow"), (enough & (F.col("refused") > 0.25) & (F.col("fell_back") < 0.05)).alias("over_refusal"))
 
