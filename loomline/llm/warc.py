@@ -11,6 +11,10 @@ record qualifies and the payload column is wanted (option ``payload``).
 
 Columns: page_id long, url string, record_type string, payload_digest string (bare hex SHA-256), payload_bytes long,
 refers_to long, payload binary. Revisit records carry no payload; digest and length are those of the full payload.
+
+Null html is an empty payload, null ids and urls stay null. Repeated rows are records of their own, and one of equal
+payloads is the response. An empty table gives an empty archive. A record of 4 GiB or more is refused with an error;
+a smaller one is held by a task alone. Other columns of the pages are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -57,7 +61,9 @@ def member(row: dict) -> bytes:
     packer = zlib.compressobj(3, zlib.DEFLATED, -15)
     deflated = packer.compress(record) + packer.flush()
     size = 10 + 2 + 12 + len(deflated) + 8
-    head = b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, size & 0xFFFFFFFF, len(record) & 0xFFFFFFFF)
+    if max(size, len(record)) > 0xFFFFFFFF:
+        raise ValueError("a record of 4 GiB or more has no place in the extra field's 32 bits")
+    head = b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, size, len(record))
     return head + deflated + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
 
@@ -220,17 +226,24 @@ def register(spark: SparkSession) -> None:
 def archive(pages: DataFrame, path: str, least: int = LEAST) -> None:
     """Write one record per page: of equal payloads of ``least`` bytes or more, the smallest page is the response.
 
-    Null html is an empty payload; null ids come last in the choice. Of rows equal in id and payload one is the response.
+    Null html is an empty payload; null ids come last in the choice. Of rows equal in id and payload one is the response
+    (the first by url, null last), and the others revisit it.
     """
     spark = pages.sparkSession
     register(spark)
     body = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(body, 256).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes")).where(F.col("payload_bytes") >= least)
-    groups = slim.groupBy("payload_digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("n"), "page_id")).alias("b"), F.count("*").alias("c")).where("c > 1")
-    groups = materialize(groups.select("payload_digest", F.col("b.page_id").alias("first")), "copies")
+    ids = slim.groupBy("payload_digest", "page_id").agg(F.count("*").alias("c"))
+    groups = ids.groupBy("payload_digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("n"), "page_id", "c")).alias("b"), F.sum("c").alias("c")).where("c > 1")
+    groups = materialize(groups.select("payload_digest", F.col("b.page_id").alias("first"), (F.col("b.c") > 1).alias("tied")), "copies")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.sha2(body, 256).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"), body.alias("payload"))
-    rows = rows.join(groups, "payload_digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("payload_bytes") >= least)
+    rows = rows.join(groups, "payload_digest", "left").withColumn("copy", F.col("tied").isNotNull() & (F.col("payload_bytes") >= least))
+    rows = rows.withColumn("leads", F.col("copy") & F.col("page_id").eqNullSafe(F.col("first"))).withColumn("revisit", F.col("copy") & ~F.col("leads"))
+    if groups.where("tied").take(1):  # only rows that share the smallest id with an equal row are numbered
+        place = F.row_number().over(Window.partitionBy("payload_digest").orderBy(F.col("url").asc_nulls_last()))
+        tied = rows.where("leads AND tied").withColumn("revisit", place > 1)
+        rows = rows.where("NOT (leads AND coalesce(tied, false))").unionByName(tied)
+    revisit = F.col("revisit")
     out = rows.select("page_id", "url", F.when(revisit, "revisit").otherwise("response").alias("record_type"), "payload_digest", "payload_bytes", F.when(revisit, F.col("first")).alias("refers_to"), F.when(~revisit, F.col("payload")).alias("payload"))
     out.write.format("warc").mode("append").option("path", path).save()
 
@@ -261,8 +274,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
-f AS (SELECT *, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS first FROM p)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {LEAST} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= {LEAST} AND page_id <> first THEN first END AS refers_to FROM f
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, url FROM pages),
+f AS (SELECT *, sha256(html) AS payload_digest, first_value(page_id) OVER w AS first, row_number() OVER w AS place FROM p WINDOW w AS (PARTITION BY html ORDER BY page_id, url))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {LEAST} AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= {LEAST} AND place > 1 THEN first END AS refers_to FROM f
 """
