@@ -77,11 +77,15 @@ def _maybe(text: Column) -> Column:
     return found
 
 
-def _keyed_digest(key: bytes, message: Column) -> Column:
-    """HMAC-SHA-256 in lower-case hex."""
+def _pads(spark: SparkSession, key: bytes) -> DataFrame:
+    """The key as one row of the two pads of HMAC. Rows, unlike literals, are in no plan, so in no log and no UI."""
     block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
-    inner, outer = (bytearray(c ^ pad for c in block) for pad in (0x36, 0x5C))
-    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), F.encode(message, "UTF-8")), 256))), 256)
+    return F.broadcast(spark.createDataFrame([tuple(bytearray(c ^ pad for c in block) for pad in (0x36, 0x5C))], "_inner binary, _outer binary"))
+
+
+def _keyed_digest(message: Column) -> Column:
+    """HMAC-SHA-256 in lower-case hex, with the columns of ``_pads``."""
+    return F.sha2(F.concat(F.col("_outer"), F.unhex(F.sha2(F.concat(F.col("_inner"), F.encode(message, "UTF-8")), 256))), 256)
 
 
 def _number(digest: Column, at: Column) -> Column:
@@ -119,9 +123,9 @@ def _canonical(kind: Column, value: Column) -> Column:
     return F.when(kind.isin("phone", "card", "ssn", "iban"), F.lower(F.regexp_replace(value, r"[^\p{L}\p{N}]", ""))).when(kind.isin("secret", "known"), value).otherwise(F.lower(value))
 
 
-def _draw(kind: Column, canon: Column, attempt: Column, key: bytes) -> Column:
+def _draw(kind: Column, canon: Column, attempt: Column) -> Column:
     """The canonical surrogate of an entity at an attempt."""
-    digest = _keyed_digest(key, F.concat_ws("\x1f", kind, canon, attempt.cast("string")))
+    digest = _keyed_digest(F.concat_ws("\x1f", kind, canon, attempt.cast("string")))
     chars = F.filter(F.split(canon, ""), lambda c: c != "")
 
     def swap(c: Column, i: Column) -> Column:
@@ -188,7 +192,8 @@ def entities(matches: DataFrame) -> DataFrame:
 def draw_surrogates(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, canon, made): one surrogate per different entity, all distinct and none a real value of its type."""
     fresh = found.select("kind", "canon").distinct().select(F.split_part("kind", F.lit("_"), F.lit(1)).alias("type"), "kind", "canon", F.lit(0).alias("attempt"))
-    named = materialize(fresh.withColumn("made", _draw(F.col("kind"), F.col("canon"), F.lit(0), key)), "entities")
+    pads = _pads(found.sparkSession, key)
+    named = materialize(fresh.crossJoin(pads).withColumn("made", _draw(F.col("kind"), F.col("canon"), F.lit(0))).drop("_inner", "_outer"), "entities")
     for _ in range(ATTEMPTS):
         first = named.groupBy("type", "made").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n"))
         real = named.select("type", F.col("canon").alias("made"), F.lit(True).alias("real"))
@@ -198,7 +203,7 @@ def draw_surrogates(found: DataFrame, key: bytes) -> DataFrame:
             return named.select("kind", "canon", "made")
         redo = F.coalesce("hit", F.lit(False)) & ~F.col("canon").eqNullSafe(F.col("stays"))
         again = named.join(bad.withColumn("hit", F.lit(True)), ["type", "made"], "left").withColumn("attempt", F.when(redo, F.col("attempt") + 1).otherwise(F.col("attempt")))
-        again = again.withColumn("made", F.when(redo, _draw(F.col("kind"), F.col("canon"), F.col("attempt"), key)).otherwise(F.col("made")))
+        again = again.crossJoin(pads).withColumn("made", F.when(redo, _draw(F.col("kind"), F.col("canon"), F.col("attempt"))).otherwise(F.col("made")))
         named = materialize(again.select("type", "kind", "canon", "attempt", "made"), "entities")
     raise RuntimeError("a format has too few free values for distinct surrogates")
 
@@ -236,7 +241,7 @@ def replace_personal_data(docs: DataFrame, key: bytes) -> DataFrame:
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key is the setting ``spark.loomline.surrogates.key``; without it, a published one, for tests only."""
+    """The key is the setting ``spark.loomline.surrogates.secret``, a name that Spark redacts; without it, a published one, for tests only."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    key = spark.conf.get("spark.loomline.surrogates.key", None)
+    key = spark.conf.get("spark.loomline.surrogates.secret", None)
     return replace_personal_data(docs, key.encode() if key else DEMO_KEY)

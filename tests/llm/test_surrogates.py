@@ -39,7 +39,7 @@ def test_addresses(spark):
 
 def test_digest_is_an_hmac(spark):
     for key in (b"k", b"x" * 100):
-        row = spark.createDataFrame([("id\u00e9",)], "m string").select(surrogates._keyed_digest(key, F.col("m")).alias("d")).first()
+        row = spark.createDataFrame([("id\u00e9",)], "m string").crossJoin(surrogates._pads(spark, key)).select(surrogates._keyed_digest(F.col("m")).alias("d")).first()
         assert row["d"] == hmac.new(key, "id\u00e9".encode(), hashlib.sha256).hexdigest()
 
 
@@ -65,3 +65,13 @@ def test_cheap_test_lets_all_matches_through(spark):
         texts.append(rng.choice(["", "x ", "see "]) + "".join(t) + rng.choice(["", " y", "."]))
     rows = spark.createDataFrame([(t,) for t in texts + seeds], "t string").select("t", F.col("t").rlike(surrogates.PATTERN).alias("hit"), surrogates._maybe(F.col("t")).alias("maybe")).collect()
     assert sum(r["hit"] for r in rows) > 500 and not [r["t"] for r in rows if r["hit"] and not r["maybe"]]
+
+
+def test_the_key_is_in_no_plan(spark):
+    key = b"kept to ourselves"
+    found = spark.createDataFrame([("mail", "a@b.org")], "kind string, canon string")
+    frame = found.crossJoin(surrogates._pads(spark, key)).withColumn("made", surrogates._draw(F.col("kind"), F.col("canon"), F.lit(0)))
+    plan = frame._jdf.queryExecution().toString()
+    for pad in (0, 0x36, 0x5C):
+        part = bytes(c ^ pad for c in key)
+        assert part.decode("latin-1") not in plan and part.hex().upper() not in plan.upper() and ", ".join(map(str, part[:4])) not in plan
