@@ -11,11 +11,14 @@ from loomline.streaming import folds, live
 from loomline.streaming.stateful import fold_batch, fold_stream
 
 
+_ANY = "1000 days"  # the tables' files come in any order of time, and no row of them is too late
+
+
 @query("l1_live_index")
 def live_index(t: Tables) -> DataFrame:
     folder = live.shared_folder(t.spark)
     live.index_live(live.read_stream(t.spark, f"{t.folder}/conversations.parquet"), folder)
-    return t.spark.read.parquet(f"{folder}/chunks").drop("batch")
+    return live.live_chunks(t.spark, folder)
 
 
 @query("l2_session_ownership", "SELECT event_id, user_id FROM (SELECT *, max(event_id) FILTER (WHERE event_type = 'signup') OVER (PARTITION BY user_id) AS owner FROM events) WHERE event_type <> 'signup' AND (owner IS NULL OR event_id > owner)")
@@ -87,8 +90,16 @@ def transitions(t: Tables) -> DataFrame:
 @query("l23_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def windows(t: Tables) -> DataFrame:
     folder = live.shared_folder(t.spark)
-    live.windowed_counts(live.read_stream(t.spark, f"{t.folder}/events.parquet"), folder)
-    return t.spark.read.parquet(f"{folder}/counts").withColumn("total", F.round("total", 4))
+    live.windowed_counts(live.read_stream(t.spark, f"{t.folder}/events.parquet"), folder, late=_ANY)
+    return live.newest_counts(t.spark, folder).withColumn("total", F.round("total", 4))
+
+
+@query("l23_sliding", """SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, value, time_bucket(INTERVAL 6 HOUR, ts) - i * INTERVAL 6 HOUR AS start FROM events, range(4) AS r(i)) GROUP BY 1, 2""")
+def sliding_windows(t: Tables) -> DataFrame:
+    """Windows of a day, a new one every six hours."""
+    folder = live.shared_folder(t.spark)
+    live.windowed_counts(live.read_stream(t.spark, f"{t.folder}/events.parquet"), folder, late=_ANY, slide="6 hours")
+    return live.newest_counts(t.spark, folder).withColumn("total", F.round("total", 4))
 
 
 @query("l23_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 1800000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
