@@ -167,20 +167,3 @@ def select_per_query(rows: DataFrame, choose, part: str = "query_id") -> DataFra
         return pd.DataFrame({part: pdf[part].iloc[0], "place": range(len(chosen)), "id": [c["id"] for c in chosen]})
 
     return rows.groupBy(part).applyInPandas(run, f"{part} long, place int, id long")
-
-
-def merge_similar(texts: list[str], words, like: float = 0.8, ratio: float = 0.6, evidence: int = 3) -> list[tuple[str, list[int]]]:
-    """Greedy merge in order: a text joins the first kept one it is like (Dice, length ratio); the longer text stays."""
-    kept: list[list] = []
-    for n, t in enumerate(texts):
-        mine = words(t)
-        for k in kept:
-            other = words(k[0])
-            if mine and other and min(len(mine), len(other)) / max(len(mine), len(other)) >= ratio and 2 * len(mine & other) / (len(mine) + len(other)) >= like:
-                if len(t.strip()) > len(k[0].strip()):
-                    k[0] = t
-                k[1] = [*k[1], n][:evidence]
-                break
-        else:
-            kept.append([t, [n]])
-    return [(t, e) for t, e in kept]

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import text
-from loomline.operators import selection, transcripts
+from loomline.operators import summaries, transcripts
 from loomline.plans.sqltext import SEGMENTS
 from loomline.registry import Tables, query
 
@@ -121,17 +120,28 @@ def chunk_long(t: Tables) -> DataFrame:
 
 @query("i20_merge_similar")
 def merge_similar(t: Tables) -> DataFrame:
-    """Near-equal segments of a conversation merged in order (a fold per conversation)."""
+    return summaries.merge_similar(_segments(t))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import re
 
-        drop = re.compile(r"(?<![A-Za-z0-9_])(?:the|a|an|to|for|and|or|of|in|on|by|with|from)(?![A-Za-z0-9_])")
-        words = lambda s: set(drop.sub(" ", re.sub(r"[^a-z0-9\s]", " ", s.lower())).split())
-        kept = selection.merge_similar(list(pdf.sort_values("seq")["text"]), words)
-        return pd.DataFrame([(pdf["conv_id"].iloc[0], n, k, len(e)) for n, (k, e) in enumerate(kept)], columns=["conv_id", "item", "text", "evidence"])
-
-    return _segments(t).groupBy("conv_id").applyInPandas(run, "conv_id long, item int, text string, evidence int")
+@query("i21_sections")
+def summary_sections(t: Tables) -> DataFrame:
+    """Questions, decisions and actions of conversations as findings of three declared sections; those of no section stay out."""
+    c = F.col("t")
+    kind = F.array_compact(F.array(F.when(text.is_question(c), F.lit("Open questions")), F.when(text.is_decision(c), F.lit(" decisions ")), F.when(text.is_action(c), F.lit("Actions")), F.lit("Other")))
+    return summaries.sections(_flagged(t).select("conv_id", "seq", F.explode(kind).alias("section"), F.col("t").alias("text")), ["Decisions", "Actions", "Open Questions"], 40)
+
+
+@query("i21_timeline", rf"""WITH {SEGMENTS}, {_FLAGGED}, i AS (SELECT conv_id, seq, 0 AS o, 'topic_shift' AS kind, left(text, 80) AS title, timestamp_ms AS at_ms FROM segments WHERE seq % 10 = 0
+UNION ALL SELECT f.conv_id, f.seq, 1, 'decision', t, timestamp_ms FROM f JOIN segments USING (conv_id, seq) WHERE regexp_matches(t, '(?i)\b({text.DECISION_WORDS.replace("'", "''")})\b')
+UNION ALL SELECT f.conv_id, f.seq, 2, 'action_item', t, timestamp_ms FROM f JOIN segments USING (conv_id, seq) WHERE regexp_matches(t, '(?i)\b({text.ACTION_WORDS})\b') OR regexp_matches(t, '(?i)\b({text.DEADLINE_WORDS})\b'))
+SELECT conv_id, CAST(row_number() OVER w - 1 AS INT) AS place, kind, title, at_ms FROM i WINDOW w AS (PARTITION BY conv_id ORDER BY at_ms, o, seq) QUALIFY row_number() OVER w <= 20""")
+def summary_timeline(t: Tables) -> DataFrame:
+    """The first line of every ten opens a topic; decisions and actions follow it in time."""
+    rows = _flagged(t).join(_segments(t).select("conv_id", "seq", F.col("timestamp_ms").alias("at_ms")), ["conv_id", "seq"])
+    item = lambda kept, order, kind: kept.select("conv_id", "seq", F.lit(order).alias("order"), F.lit(kind).alias("kind"), F.col("t").alias("title"), "at_ms")
+    briefs = _segments(t).where("seq % 10 = 0").select("conv_id", "seq", F.lit(0).alias("order"), F.lit("topic_shift").alias("kind"), F.left("text", F.lit(80)).alias("title"), F.col("timestamp_ms").alias("at_ms"))
+    found = briefs.unionByName(item(rows.where(text.is_decision(F.col("t"))), 1, "decision")).unionByName(item(rows.where(text.is_action(F.col("t"))), 2, "action_item"))
+    return summaries.timeline(found)
 
 
 @query("i19_action_items", rf"""WITH {SEGMENTS}, {_FLAGGED} SELECT conv_id, seq, regexp_extract(t, '(?i)need to ([a-z ]+)', 1) AS action FROM f WHERE regexp_matches(t, '(?i)need to [a-z]')""")

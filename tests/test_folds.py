@@ -81,11 +81,6 @@ def test_selection_under_a_budget(spark):
     assert [c["id"] for c in selection.floors_and_caps(floors, 40, 4)] == [0, 4, 1, 5]
 
 
-def test_similar_texts_merge_in_order():
-    words = lambda t: set(t.split())
-    assert selection.merge_similar(["a b c d e", "a b c d e f", "x y"], words) == [("a b c d e f", [0, 1]), ("x y", [2])]
-
-
 def test_tables(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), spark.createDataFrame([(2, "B"), (3, "C")], "k long, v string")
     rows = lambda df: sorted(map(tuple, df.collect()))
