@@ -32,7 +32,7 @@ QUESTION_TYPES = [
     ("technical", r"\b(implement|write (code|a function|a program)|algorithm|data structure|system design|how does .* work|explain (how|the)|difference between|what is (a|an|the)|optimi[sz]e|debug|complexity)\b"),
 ]
 CARD_TYPES = [
-    ("metadata", r"(?i)\b(who\s+(is|wrote|are)\s+the\s+(author|writer)|author\s+of\s+the|title\s+of\s+the\s+(thesis|paper|document|report|dissertation)|full\s+title|(what|which)\s+(date|language|institution|university|degree|department|keywords?)\s+(is|are|does|listed|written)|number\s+of\s+pages|how\s+many\s+pages)"),
+    ("metadata", r"(?i)\b(who\s+(?:is|wrote|are)\s+the\s+(?:author|writer)|author\s+of\s+the|title\s+of\s+the\s+(?:thesis|paper|document|report|dissertation)|full\s+title|(?:name|list)\s+(?:an?\s+|the\s+|one\s+|two\s+)?(?:advisors?|supervisors?|examiners?)|advisors?\s+listed|supervisors?\s+listed|(?:what|which)\s+(?:date|language|institution|university|degree|department|keywords?)\s+(?:is|are|does|listed|written)|number\s+of\s+pages|how\s+many\s+pages|(?:what|which)\s+language\s+(?:is|was)\s+the\s+(?:thesis|paper|document|report|it)|keywords?\s+(?:listed|for\s+the))"),
     ("main_topic", r"(?i)\b(main topic|what is .*(thesis|paper|document|project) about|overview)\b"),
     ("summary", r"(?i)\b(simple words|summari[sz]e|explain .* (simply|briefly)|tl;?dr)\b"),
     ("problem_statement", r"(?i)\b(problem (is|does|are).*(solv|address)|what problem)\b"),

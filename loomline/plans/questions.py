@@ -1,6 +1,7 @@
 """Queries over questions: planning, expansion, classification, similarity, guards, and rules over transcripts.
 
-The tables hold no real questions, so each document asks one of a fixed list, by its id; patterns run on that text.
+Questions are the lines of conversations. As the tables' language is invented, two lines of three begin with a phrase of
+a fixed list, so that every pattern has something to find; the line before is the question before.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ PAY = ["", " I want 120k now", " about 20 lpa", " the base salary is open", " $
 CUES = ["", " let us discuss pricing and the contract", " the candidate resume and salary", " sprint backlog and a blocker", " lecture on a theorem, said the professor", " time complexity of the algorithm", " tell me about yourself and my background"]
 TITLES = ["", "Sales demo", "Weekly sync", "Seminar", "Coding round"]
 TALK = ["", " I think the api module is honestly good, you know.", " Therefore the database function runs async; furthermore I would recommend it.", " kind of actually pretty much done", " let me await the promise of the component"]
-_Q = f"q AS (SELECT doc_id, {s.listed(QUESTIONS)}[doc_id % {len(QUESTIONS)} + 1] AS question, {s.listed(QUESTIONS)}[(doc_id + 5) % {len(QUESTIONS)} + 1] AS previous FROM documents)"
+_Q = f"""{s.SEGMENTS}, q AS (SELECT conv_id, seq, question, coalesce(lag(question) OVER (PARTITION BY conv_id ORDER BY seq), '') AS previous FROM
+(SELECT conv_id, seq, CASE WHEN seq % 3 = 0 THEN text WHEN seq % 3 = 1 THEN {s.listed(QUESTIONS)}[(conv_id * 7 + seq) % {len(QUESTIONS)} + 1] || ' ' || text ELSE {s.listed(QUESTIONS)}[(conv_id * 7 + seq) % {len(QUESTIONS)} + 1] || ' ' || left(text, 6) END AS question FROM segments))"""
 
 
 def pick(values: list[str], number: Column) -> Column:
@@ -35,17 +37,20 @@ def pick(values: list[str], number: Column) -> Column:
 
 
 def _questions(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", pick(QUESTIONS, F.col("doc_id")).alias("question"), pick(QUESTIONS, F.col("doc_id") + 5).alias("previous"))
+    phrase = pick(QUESTIONS, F.col("conv_id") * 7 + F.col("seq"))
+    asked = F.when(F.col("seq") % 3 == 0, F.col("text")).when(F.col("seq") % 3 == 1, F.concat_ws(" ", phrase, "text")).otherwise(F.concat_ws(" ", phrase, F.left("text", F.lit(6))))
+    before = F.lag("question").over(Window.partitionBy("conv_id").orderBy("seq"))
+    return transcripts.segments(t.conversations).select("conv_id", "seq", asked.alias("question")).withColumn("previous", F.coalesce(before, F.lit("")))
 
 
 _CLEAN = rf"trim(regexp_replace(regexp_replace(question, {s.quoted(rules.DOCUMENT_WORDS)}, ' ', 'g'), '\s+', ' ', 'g'))"
 _OOP = r"\b(?:oop|o\.o\.p\.|object[- ]oriented)\b"
 
 
-@query("h32_query_expansion", rf"""WITH {_Q}, c AS (SELECT doc_id, {_CLEAN} AS c FROM q), v AS (SELECT doc_id, unnest([c, CASE WHEN {s.matches("lower(c)", _OOP)} THEN c || ' object oriented programming' END, CASE WHEN {s.matches("lower(c)", _OOP)} THEN c || ' OOP' END,
-CASE WHEN {s.matches("lower(c)", chr(92) + "bacid" + chr(92) + "b")} THEN c || ' atomicity consistency isolation durability' END, CASE WHEN {s.matches("lower(c)", chr(92) + "bnormalization" + chr(92) + "b")} THEN c || ' normal forms functional dependency' END]) AS variant FROM c) SELECT DISTINCT doc_id, variant FROM v WHERE variant <> ''""")
+@query("h32_query_expansion", rf"""WITH {_Q}, c AS (SELECT conv_id, seq, {_CLEAN} AS c FROM q), v AS (SELECT conv_id, seq, unnest([c, CASE WHEN {s.matches("lower(c)", _OOP)} THEN c || ' object oriented programming' END, CASE WHEN {s.matches("lower(c)", _OOP)} THEN c || ' OOP' END,
+CASE WHEN {s.matches("lower(c)", chr(92) + "bacid" + chr(92) + "b")} THEN c || ' atomicity consistency isolation durability' END, CASE WHEN {s.matches("lower(c)", chr(92) + "bnormalization" + chr(92) + "b")} THEN c || ' normal forms functional dependency' END]) AS variant FROM c) SELECT DISTINCT conv_id, seq, variant FROM v WHERE variant <> ''""")
 def query_expansion(t: Tables) -> DataFrame:
-    return _questions(t).select("doc_id", F.explode(rules.expansions(F.col("question"))).alias("variant"))
+    return _questions(t).select("conv_id", "seq", F.explode(rules.expansions(F.col("question"))).alias("variant"))
 
 
 def _family(c: str, conversation: bool) -> str:
@@ -53,29 +58,31 @@ def _family(c: str, conversation: bool) -> str:
     return f"CASE WHEN {meeting} THEN 'meeting' WHEN {s.matches(c, rules.PERSONAL)} THEN 'personal' WHEN {s.matches(c, rules.KNOWLEDGE)} THEN 'knowledge' WHEN {s.matches(c, rules.REFERENCE_FILES)} THEN 'mode' END"
 
 
-@query("h36_query_plan", f"""WITH {_Q}, f AS (SELECT doc_id, question, {_family("question", True)} AS own, {_family("previous", False)} AS before, {s.matches("question", rules.STUB)} OR ({s.matches("question", rules.REFERENTIAL_START)} AND {s.matches("question", rules.REFERENTIAL_WORD)}) AS ref FROM q),
+@query("h36_query_plan", f"""WITH {_Q}, f AS (SELECT conv_id, seq, question, {_family("question", True)} AS own, {_family("previous", False)} AS before, {s.matches("question", rules.STUB)} OR ({s.matches("question", rules.REFERENTIAL_START)} AND {s.matches("question", rules.REFERENTIAL_WORD)}) AS ref FROM q),
 r AS (SELECT *, coalesce(own, CASE WHEN ref AND before IS NOT NULL THEN 'follow_up' WHEN ref THEN 'conversation' ELSE 'default' END) AS reason FROM f)
-SELECT doc_id, reason, CASE WHEN {" OR ".join(s.matches("question", p) for p in (rules.MEETING, rules.PERSONAL, rules.REFERENCE_FILES, rules.KNOWLEDGE))} OR (NOT {s.matches("question", rules.CHITCHAT)} AND reason NOT IN ('conversation', 'default')) THEN 'retrieve' ELSE 'skip' END AS retrieval FROM r""")
+SELECT conv_id, seq, reason, CASE WHEN {" OR ".join(s.matches("question", p) for p in (rules.MEETING, rules.PERSONAL, rules.REFERENCE_FILES, rules.KNOWLEDGE))} OR (NOT {s.matches("question", rules.CHITCHAT)} AND reason NOT IN ('conversation', 'default')) THEN 'retrieve' ELSE 'skip' END AS retrieval FROM r""")
 def query_plan(t: Tables) -> DataFrame:
-    return _questions(t).select("doc_id", rules.query_plan(F.col("question"), F.col("previous")).alias("p")).select("doc_id", "p.reason", "p.retrieval")
+    return _questions(t).select("conv_id", "seq", rules.query_plan(F.col("question"), F.col("previous")).alias("p")).select("conv_id", "seq", "p.reason", "p.retrieval")
 
 
-@query("h38_question_types", f"WITH {_Q} SELECT doc_id, {s.first_match('lower(question)', rules.QUESTION_TYPES, chr(39) + 'general' + chr(39))} AS kind FROM q")
+@query("h38_question_types", f"WITH {_Q} SELECT conv_id, seq, {s.first_match('lower(question)', rules.QUESTION_TYPES, chr(39) + 'general' + chr(39))} AS kind FROM q")
 def question_types(t: Tables) -> DataFrame:
-    return _questions(t).select("doc_id", rules.question_type(F.col("question")).alias("kind"))
+    return _questions(t).select("conv_id", "seq", rules.question_type(F.col("question")).alias("kind"))
 
 
-@query("h40_card_questions", rf"""WITH {_Q}, e AS (SELECT doc_id, question, len(list_distinct(regexp_extract_all(question, {s.quoted(rules.ENTITY)}))) AS entities FROM q)
-SELECT doc_id, entities, CASE WHEN trim(question) = '' THEN 'unknown' WHEN {s.matches("question", rules.FOLLOW_UP)} AND len(regexp_split_to_array(trim(question), '\s+')) <= 6 THEN 'follow_up' ELSE {s.first_match("question", rules.CARD_TYPES, "CASE WHEN entities > 0 THEN 'entity_lookup' ELSE 'unknown' END")} END AS kind FROM e""")
+@query("h40_card_questions", rf"""WITH {_Q}, e AS (SELECT conv_id, seq, question, len(list_distinct(regexp_extract_all(question, {s.quoted(rules.ENTITY)}))) AS entities FROM q)
+SELECT conv_id, seq, entities, CASE WHEN trim(question) = '' THEN 'unknown' WHEN {s.matches("question", rules.FOLLOW_UP)} AND len(regexp_split_to_array(trim(question), '\s+')) <= 6 THEN 'follow_up' ELSE {s.first_match("question", rules.CARD_TYPES, "CASE WHEN entities > 0 THEN 'entity_lookup' ELSE 'unknown' END")} END AS kind FROM e""")
 def card_questions(t: Tables) -> DataFrame:
     q = F.col("question")
-    return _questions(t).select("doc_id", F.size(rules.target_entities(q)).cast("long").alias("entities"), rules.card_question_type(q).alias("kind"))
+    return _questions(t).select("conv_id", "seq", F.size(rules.target_entities(q)).cast("long").alias("entities"), rules.card_question_type(q).alias("kind"))
 
 
-@query("b16_select_guard", rf"""WITH b AS (SELECT doc_id, trim(regexp_replace(regexp_replace({s.listed(STATEMENTS)}[doc_id % {len(STATEMENTS)} + 1], '(?s)/\*.*?\*/', ' ', 'g'), '--[^\n]*', ' ', 'g')) AS b FROM documents), o AS (SELECT doc_id, b, regexp_replace(b, ';\s*$', '') AS o FROM b)
+@query("b16_select_guard", rf"""WITH b AS (SELECT doc_id, trim(regexp_replace(regexp_replace({s.listed(STATEMENTS)}[doc_id % {len(STATEMENTS)} + 1] || CASE WHEN doc_id % 2 = 0 THEN text ELSE left(text, 9) END, '(?s)/\*.*?\*/', ' ', 'g'), '--[^\n]*', ' ', 'g')) AS b FROM documents), o AS (SELECT doc_id, b, regexp_replace(b, ';\s*$', '') AS o FROM b)
 SELECT doc_id, b <> '' AND NOT contains(o, ';') AND regexp_matches(lower(o), '^(select|with)\b') AND NOT {s.matches("o", rules.DENIED_VERBS)} AS ok FROM o""")
 def select_guard(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", rules.read_only_select(pick(STATEMENTS, F.col("doc_id"))).alias("ok"))
+    """Each document's text, or its beginning, after a statement."""
+    told = F.concat(pick(STATEMENTS, F.col("doc_id")), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.left("text", F.lit(9))))
+    return t.documents.select("doc_id", rules.read_only_select(told).alias("ok"))
 
 
 def _said(t: Tables, tails: list[str], number: Column) -> DataFrame:
