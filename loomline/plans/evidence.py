@@ -32,6 +32,20 @@ def vector_scan(t: Tables) -> DataFrame:
     return hits.select("vec_id", F.round(1 - F.col("similarity"), 6).alias("distance"))
 
 
+@query("a5_marked_documents", r"""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'extension' WHEN doc_id % 6 = 4 THEN 'binary' END AS refused, CASE WHEN doc_id % 6 = 5 THEN regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]', chr(65533), 'g') ELSE text END AS text FROM documents)
+SELECT doc_id, refused, CASE WHEN refused IS NULL THEN length(text) END AS chars, CASE WHEN refused IS NULL THEN md5(text) END AS digest FROM f""")
+def marked_documents(t: Tables) -> DataFrame:
+    """Each document as a file's bytes: UTF-16 of either order, UTF-8 with and without a mark, with a zero byte, as DOCX, as PDF."""
+    n, c = F.col("doc_id") % 6, F.col("text")
+    bytes_of = lambda mark, charset: F.concat(F.unhex(F.lit(mark)), F.encode(c, charset))
+    content = F.when(n == 0, bytes_of("FFFE", "UTF-16LE")).when(n == 1, bytes_of("FEFF", "UTF-16BE")).when(n == 2, bytes_of("EFBBBF", "UTF-8")).when(n == 3, F.encode(c, "UTF-8")).otherwise(bytes_of("2000", "UTF-8"))
+    flat = t.documents.where(n < 5).select(F.col("doc_id").alias("id"), content.alias("content"))
+    whole = flat.unionByName(files.boxed(t.documents.where(n == 5).select(F.col("doc_id").alias("id"), "text")))
+    ending = F.when(F.col("id") % 7 == 0, ".pdf").when(F.col("id") % 6 == 5, ".docx").otherwise(".txt")
+    read = files.documents(whole.select(F.concat(F.lit("store/"), F.col("id").cast("string"), ending).alias("path"), F.length("content").cast("long").alias("length"), "content"))
+    return read.select(F.regexp_extract("path", r"(\d+)\.", 1).cast("long").alias("doc_id"), "refused", F.char_length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+
+
 @query("a6_document_source", r"SELECT '.txt' AS extension, count(*) AS lines, sum(length(text)) AS chars, count(*) FILTER (WHERE text = '') AS empty FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM documents)")
 def document_source(t: Tables) -> DataFrame:
     """Texts exported as .txt files, read back as documents; byte order marks and refusals are tested on files of their own."""
