@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import scores, text
 from loomline.functions.rules import SECTION_STOPWORDS
-from loomline.operators import chunks, graph, sections, similarity
+from loomline.operators import chunks, codeblocks, graph, sections, similarity
 from loomline.registry import Tables, query
 
 _STOP = "the|a|an|to|for|and|or|of|in|on|by|with|from"
@@ -131,6 +131,22 @@ def entity_rollup(t: Tables) -> DataFrame:
     return rolled.where("cards >= 3")
 
 
+_TITLE = r"<title>([^<]*)</title>"
+
+
+@query("k3_code_blocks", rf"""WITH h AS (SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '{_TITLE}', 1), '&(amp|lt|gt|quot)$', '&\1;'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS t FROM pages), b AS (SELECT page_id, 'def f():' || chr(10) || '    return "' || t || '" < 1' AS one, repeat(t || ' = x; ', CASE WHEN page_id % 9 = 0 THEN 300 ELSE 1 END) AS two FROM h),
+w AS (SELECT page_id, one || chr(10) || chr(10) || trim(two) || chr(10) || chr(10) || 'x[' || CAST(page_id AS VARCHAR) || ']' || CASE WHEN page_id % 2 = 0 THEN chr(10) || chr(10) || 'line 1' || chr(10) || chr(10) || '  line 2' ELSE '' END AS w FROM b)
+SELECT page_id, CASE WHEN length(w) > 8000 THEN left(w, 8000) || chr(10) || '…(code truncated)' ELSE w END AS code FROM w""")
+def code_on_pages(t: Tables) -> DataFrame:
+    """The pages hold no code, so blocks around each page's title are put before its end: nested, repeated, long, in an editor."""
+    title = F.regexp_extract("html", _TITLE, 1)
+    long = F.repeat(F.concat(title, F.lit(" = x; ")), F.when(F.col("page_id") % 9 == 0, 300).otherwise(1))
+    editor = F.when(F.col("page_id") % 2 == 0, "<div class='box monaco-editor'><div class=view-lines><div class='view-line x'>line 1</div><div class=view-line> </div><div class='view-line'>&nbsp; line <b>2</b></div></div></div>").otherwise("")
+    one = F.concat(F.lit("<pre class=a>def f():\r\n    return <code>\""), title, F.lit("\"</code> &lt; 1  \n</pre>"))
+    blocks = F.concat(F.lit("<code>x["), F.col("page_id").cast("string"), F.lit("]</code><code>plain</code>"), one, F.lit("<div><pre>"), long, F.lit("</pre></div>"), one, editor, F.lit("</body></html>"))
+    return codeblocks.pages_with_code(t.pages.select("page_id", F.concat(F.regexp_replace("html", "</body></html>$", ""), blocks).alias("html")))
+
+
 @query("a7_table_rows")
 def table_rows(t: Tables) -> DataFrame:
     made = F.concat(F.lit("id,kind,size\n"), F.array_join(F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 4 + 2).cast("int")), lambda i: F.concat(i.cast("string"), F.lit(",k"), F.col("lang"), F.lit(","), (i * 3).cast("string"))), "\n"))
