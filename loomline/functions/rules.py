@@ -218,3 +218,41 @@ SECTION_STOPWORDS = (
     "what which where when how why who whom used use using uses was were are is the for and with this that these those does did "
     "has have had can could would should about role main project thesis paper work study perform many much research"
 ).split()
+
+# How a line names an action, who does it, until when; and how much of a card its source must hold.
+ACTION_LINES = [
+    r"(?i)\b(?:i|we|you|he|she|they|[A-Z][a-z]+)\s+(?:will|should|need to|needs to|must|can|could)\s+(.+?)(?:\s+(?:by|before|on|after)\s+([^.!?]+))?[.!?]?$",
+    r"(?i)\b(?:action|todo|follow up):\s*(.+?)(?:\s+(?:by|before|on|after)\s+([^.!?]+))?[.!?]?$",
+    r"(?i)\b(?:send|share|schedule|book|prepare|review|follow up|circle back|introduce|email)\s+(.+?)(?:\s+(?:by|before|on|after)\s+([^.!?]+))?[.!?]?$",
+]
+ACTION_OWNER = r"\b(I|we|you|he|she|they|[A-Z][a-z]+)\s+(?:will|should|need to|needs to|must|can|could)\b"
+ACTION_DEADLINE = r"(?i)\b(?:by|before|on|after)\s+([^.!?]+)$"
+ACTION_HEAD, ACTIONS_KEPT = r"(?i)^\s*(?:action|todo|follow up):\s*", 8
+SENTENCE_WORDS, SENTENCE_LEAST, CARD_LEAST, CARD_SURE = 4, 0.15, 0.3, 0.6
+
+
+def action_item(line: Column) -> Column:
+    """(text, owner, deadline) of the action that a line names by the first pattern that it fits, else null; parts it lacks are null."""
+    line = F.trim(line)
+    blank = lambda c: F.nullif(c, F.lit(""))
+    part = lambda n: [F.regexp_extract(line, borders(p), n) for p in ACTION_LINES]
+    said, until = F.lit(""), F.lit("")
+    for p, a, b in reversed(list(zip(ACTION_LINES, part(1), part(2)))):
+        said, until = F.when(matches(line, p), a).otherwise(said), F.when(matches(line, p), b).otherwise(until)
+    text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(said, ACTION_HEAD, ""), r"\s+", " "), r"[.!?]+$", ""))
+    name = F.regexp_extract(line, borders(ACTION_OWNER), 1)
+    owner = F.when(F.lower(name) == "i", "Me").otherwise(F.concat(F.upper(F.left(name, F.lit(1))), F.substring(name, 2, 1000)))
+    deadline = F.coalesce(blank(until), blank(F.regexp_extract(line, borders(ACTION_DEADLINE), 1)))
+    return F.when(text != "", F.struct(text.alias("text"), F.when(name != "", owner).alias("owner"), F.trim(deadline).alias("deadline")))
+
+
+def weakest_sentence(body: Column, source: Column, words) -> Column:
+    """The least share of words that the source holds, over the body's sentences of some words; null if there are none."""
+    sentences = F.split(F.regexp_replace(body, r"([.!?])\s+", "$1\u0001"), "\u0001")
+    lower = F.lower(source)
+
+    def share(own: Column) -> Column:
+        once = F.array_distinct(own)
+        return F.when(F.size(own) >= SENTENCE_WORDS, F.size(F.filter(once, lambda w: F.contains(lower, w))) / F.size(once).cast("double"))
+
+    return F.array_min(F.transform(sentences, lambda x: share(words(x))))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.operators.ranking import rank_in_groups
+from loomline.operators.work import written
 
 
 def keep_latest(rows: DataFrame, key: list[str], *recency: Column) -> DataFrame:
@@ -69,3 +70,16 @@ def same_rows(a: DataFrame, b: DataFrame) -> Column:
     """Multiset equality as a one-row DataFrame (equal boolean)."""
     only = a.exceptAll(b).select(F.lit(1).alias("x")).unionAll(b.exceptAll(a).select(F.lit(1).alias("x")))
     return only.agg((F.count("*") == 0).alias("equal"))
+
+
+def same_sequence(a: DataFrame, b: DataFrame, value: str, order_a: Column, order_b: Column) -> DataFrame:
+    """Equality of two results in order as a one-row DataFrame: place by place, by a range sort without one task's window."""
+
+    def placed(rows: DataFrame, order: Column) -> DataFrame:
+        whole = written(rows.orderBy(order).select(value).withColumn("_at", F.monotonically_increasing_id()))
+        part = F.shiftright("_at", 33)
+        sizes = whole.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row per partition
+        base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        return whole.withColumn("_part", part).join(F.broadcast(base), "_part").select(value, (F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("_place"))
+
+    return same_rows(placed(a, order_a), placed(b, order_b))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.functions import text
+from loomline.functions import rules, text
 from loomline.operators import summaries, transcripts
-from loomline.plans.sqltext import SEGMENTS
+from loomline.plans.sqltext import SEGMENTS, listed, quoted
 from loomline.registry import Tables, query
 
 _REPEAT = "r AS (SELECT conv_id, seq * 2 + i AS seq, speaker, text, timestamp_ms FROM segments, unnest(range(0, CASE WHEN seq % 7 = 0 THEN 2 ELSE 1 END)) AS u(i))"
@@ -144,9 +144,21 @@ def summary_timeline(t: Tables) -> DataFrame:
     return summaries.timeline(found)
 
 
-@query("i19_action_items", rf"""WITH {SEGMENTS}, {_FLAGGED} SELECT conv_id, seq, regexp_extract(t, '(?i)need to ([a-z ]+)', 1) AS action FROM f WHERE regexp_matches(t, '(?i)need to [a-z]')""")
+ACTIONS = ["", " We need to call Bob by Friday.", " Alice will send the report", " todo: review the plan before Monday 3pm!", " I must finish.", " share it with them", " and nothing more on Tuesday"]
+_SAID = f"said AS (SELECT conv_id, seq, trim(text || {listed(ACTIONS)}[seq % {len(ACTIONS)} + 1]) AS t FROM segments)"
+_FIRST = "CASE " + " ".join(f"WHEN regexp_matches(t, {quoted(p)}) THEN regexp_extract(t, {quoted(p)}, {{0}})" for p in rules.ACTION_LINES) + " ELSE '' END"
+
+
+@query("i19_action_items", rf"""WITH {SEGMENTS}, {_SAID}, a AS (SELECT conv_id, seq, trim(regexp_replace(regexp_replace(regexp_replace({_FIRST.format(1)}, {quoted(rules.ACTION_HEAD)}, ''), '\s+', ' ', 'g'), '[.!?]+$', '')) AS action, regexp_extract(t, {quoted(rules.ACTION_OWNER)}, 1) AS name, trim(coalesce(nullif({_FIRST.format(2)}, ''), nullif(regexp_extract(t, {quoted(rules.ACTION_DEADLINE)}, 1), ''))) AS deadline FROM said),
+f AS (SELECT * FROM a WHERE action <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, lower(action) ORDER BY seq) = 1)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY seq) - 1 AS INT) AS place, seq, action, CASE WHEN name = '' THEN NULL WHEN lower(name) = 'i' THEN 'Me' ELSE upper(name[1]) || name[2:] END AS owner, deadline FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY seq) <= {rules.ACTIONS_KEPT}""")
 def action_items(t: Tables) -> DataFrame:
-    return _flagged(t).where(F.col("t").rlike("(?i)need to [a-z]")).select("conv_id", "seq", F.regexp_extract("t", "(?i)need to ([a-z ]+)", 1).alias("action"))
+    """What is to be done, by whom and until when: each action once, the first eight of a conversation."""
+    said = F.concat("text", F.get(F.array(*[F.lit(a) for a in ACTIONS]), (F.col("seq") % len(ACTIONS)).cast("int")))
+    found = _segments(t).select("conv_id", "seq", rules.action_item(said).alias("a")).where("a IS NOT NULL").select("conv_id", "seq", F.col("a.text").alias("action"), "a.owner", "a.deadline")
+    first = found.groupBy("conv_id", F.lower("action").alias("key")).agg(F.min_by(F.struct("seq", "action", "owner", "deadline"), "seq").alias("r")).select("conv_id", "r.*")
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("seq")) - 1).where(F.col("place") < rules.ACTIONS_KEPT)
+    return placed.select("conv_id", "place", "seq", "action", "owner", "deadline")
 
 
 @query("h37_intent", rf"""WITH {SEGMENTS} SELECT conv_id, seq, CASE WHEN regexp_matches(lower(text), '\b(decide|decision|agreed|conclusion|settled|determined|resolved)\b') THEN 'decision_recall' WHEN regexp_matches(lower(text), 'who said|what did (\w+|he|she|they) say') THEN 'speaker_lookup'

@@ -169,10 +169,14 @@ def f4_filtered_topk(t: Tables) -> DataFrame:
     return filtered_topk(t, F.col("lang") == "de", 10)
 
 
-@query("f5_post_filtered", _near("source = 'src7' AND n_chars > 50", 10))
+@query("f5_post_filtered", f"WITH {plans._SEM}, k AS (SELECT doc_id, round(semantic, 6) AS similarity FROM sem ORDER BY 2 DESC, 1 LIMIT 40), h AS (SELECT doc_id, similarity FROM k JOIN documents USING (doc_id) WHERE source IN ('src1', 'src3', 'src7') AND n_chars > 50 ORDER BY 2 DESC, 1 LIMIT 10) SELECT *, 10 - (SELECT count(*) FROM h) AS shortfall FROM h")
 def f5_post_filtered(t: Tables) -> DataFrame:
-    """What over-fetching four times the limit aims at, without its shortfall."""
-    return filtered_topk(t, (F.col("source") == "src7") & (F.col("n_chars") > 50), 10)
+    """Four times the limit is fetched from the index, then filtered: rows may be missing, and ``shortfall`` tells how many."""
+    limit = 10
+    near = plans._vectors(t).top(plans._own_vector(t), 4 * search_limit(limit), leave=F.col("vec_id") == plans.VECTOR_ID).withColumnRenamed("vec_id", "doc_id")
+    scope = F.col("source").isin("src1", "src3", "src7") & (F.col("n_chars") > 50)
+    kept = r.top(near.join(t.documents.where(scope).select("doc_id"), "doc_id"), limit, F.desc("similarity"), F.col("doc_id"))
+    return kept.withColumn("shortfall", F.lit(limit) - F.count("*").over(Window.partitionBy(F.lit(1))))  # ``limit`` rows
 
 
 @query("f6_limits", "SELECT event_id, CASE WHEN value IS NULL THEN 20 WHEN value = floor(value) AND value BETWEEN 1 AND 200 THEN CAST(value AS BIGINT) END AS n FROM (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CASE WHEN event_id % 2 = 0 THEN floor(value * 3) ELSE value END END AS value FROM events)")
@@ -346,10 +350,12 @@ def evidence_tiers(t: Tables) -> DataFrame:
     return got.select("query_id", "top", "mean", tier.alias("tier"))
 
 
-@query("c12_edge_join", "WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem) SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node")
+@query("c12_edge_join", "WITH e AS (SELECT l_suppkey AS src, l_partkey + 1000000 AS dst, min(l_orderkey) AS rel FROM lineitem GROUP BY 1, 2), b AS (SELECT src AS node, dst AS other, rel FROM e UNION ALL SELECT dst, src, rel FROM e), d AS (SELECT node, count(*) AS degree FROM b GROUP BY 1) SELECT b.node, other, rel, degree AS other_degree FROM b JOIN d ON d.node = b.other")
 def edge_join(t: Tables) -> DataFrame:
-    edges = t.lineitem.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")).distinct()
-    return graph.degrees(edges.withColumn("rel", F.lit(0).cast("long")))
+    """Each relation from both of its ends: the node, the other side and how many relations that has."""
+    edges = t.lineitem.groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")).agg(F.min("l_orderkey").alias("rel"))
+    ends = graph.both_ways(edges).select(F.col("src").alias("node"), F.col("dst").alias("other"), "rel")
+    return ends.join(graph.degrees(edges).select(F.col("node").alias("other"), F.col("degree").alias("other_degree")), "other")
 
 
 @query("i14_numeral_tokens")

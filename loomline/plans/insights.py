@@ -66,16 +66,20 @@ def entities(t: Tables) -> DataFrame:
     return top_per_group(first, ["conv_id"], 24, F.col("at")).select("conv_id", "name")
 
 
-_CARD = "left(text, 200) || CASE WHEN doc_id % 5 = 0 THEN ' invented clause wholly unsupported' ELSE '' END"
+_CARD = "left(text, 200) || CASE doc_id % 5 WHEN 0 THEN ' invented clause wholly unsupported' WHEN 1 THEN '. Qqxz vvkq zzwq xxjq yyqz.' ELSE '' END"
+_SHARE = "len(list_filter(list_distinct(w), lambda x: contains(source, x))) / CAST(len(list_distinct(w)) AS DOUBLE)"
 
 
-@query("i24_grounding", f"""WITH c AS (SELECT doc_id, lower(text) AS source, list_distinct({s.tokens(_CARD)}) AS w FROM documents), g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_filter(w, lambda x: contains(source, x))) / CAST(len(w) AS DOUBLE) END AS score FROM c)
-SELECT doc_id, round(score, 6) AS score, CASE WHEN score < 0.3 THEN 'rejected' WHEN score < 0.6 THEN 'downgraded' ELSE 'accepted' END AS verdict FROM g""")
+@query("i24_grounding", rf"""WITH c AS (SELECT doc_id, lower(text) AS source, {_CARD} AS card FROM documents), g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN 0.0 ELSE {_SHARE} END AS score FROM (SELECT doc_id, source, {s.tokens("card")} AS w FROM c)),
+e AS (SELECT doc_id, source, unnest(string_split(regexp_replace(card, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS sentence FROM c), m AS (SELECT doc_id, min({_SHARE}) AS least FROM (SELECT doc_id, source, {s.tokens("sentence")} AS w FROM e) WHERE len(w) >= {rules.SENTENCE_WORDS} GROUP BY 1)
+SELECT doc_id, round(score, 6) AS score, round(least, 6) AS least, CASE WHEN score < {rules.CARD_LEAST} OR coalesce(least, 1) < {rules.SENTENCE_LEAST} THEN 'rejected' WHEN score < {rules.CARD_SURE} THEN 'downgraded' ELSE 'accepted' END AS verdict FROM g LEFT JOIN m USING (doc_id)""")
 def grounding(t: Tables) -> DataFrame:
-    """Share of a card's words that its source holds; below 0.3 a card is rejected, below 0.6 downgraded."""
-    body = F.concat(F.left("text", F.lit(200)), F.when(F.col("doc_id") % 5 == 0, " invented clause wholly unsupported").otherwise(""))
-    rows = t.documents.select("doc_id", rules.grounding(body, F.col("text"), text.tokens).alias("score"))
-    return rows.select("doc_id", F.round("score", 6).alias("score"), F.when(F.col("score") < 0.3, "rejected").when(F.col("score") < 0.6, "downgraded").otherwise("accepted").alias("verdict"))
+    """Share of a card's words that its source holds, whole and of its weakest sentence; too little of either rejects it."""
+    tail = F.when(F.col("doc_id") % 5 == 0, " invented clause wholly unsupported").when(F.col("doc_id") % 5 == 1, ". Qqxz vvkq zzwq xxjq yyqz.").otherwise("")
+    body = F.concat(F.left("text", F.lit(200)), tail)
+    rows = t.documents.select("doc_id", rules.grounding(body, F.col("text"), text.tokens).alias("score"), rules.weakest_sentence(body, F.col("text"), text.tokens).alias("least"))
+    bad = (F.col("score") < rules.CARD_LEAST) | (F.coalesce("least", F.lit(1.0)) < rules.SENTENCE_LEAST)
+    return rows.select("doc_id", F.round("score", 6).alias("score"), F.round("least", 6).alias("least"), F.when(bad, "rejected").when(F.col("score") < rules.CARD_SURE, "downgraded").otherwise("accepted").alias("verdict"))
 
 
 _MADE = "html || CASE WHEN page_id % 4 = 0 THEN '<h2>Part  <b>one</b></h2><h2>Part one</h2><h3>Detail</h3>' ELSE '' END"

@@ -249,7 +249,21 @@ def set_operations(t: Tables) -> DataFrame:
     return count(both, "both").unionAll(count(left, "customer")).unionAll(count(either, "either"))
 
 
-@query("g3_multiset_equality", "SELECT (SELECT count(*) FROM (SELECT l_returnflag FROM lineitem EXCEPT ALL SELECT l_returnflag FROM lineitem WHERE l_quantity > 0)) = 0 AS equal")
+_EQUAL = "(SELECT count(*) FROM (({0}) EXCEPT ALL ({1}))) + (SELECT count(*) FROM (({1}) EXCEPT ALL ({0}))) = 0"
+_PLACED = "SELECT o_orderstatus, row_number() OVER (ORDER BY {0}) AS place FROM orders WHERE o_custkey < 50"
+
+
+@query("g3_multiset_equality", f"""SELECT 'same' AS pair, {_EQUAL.format("SELECT l_returnflag FROM lineitem", "SELECT l_returnflag FROM lineitem ORDER BY l_quantity")} AS equal
+UNION ALL SELECT 'fewer', {_EQUAL.format("SELECT l_returnflag FROM lineitem", "SELECT l_returnflag FROM lineitem WHERE l_quantity > 1")} UNION ALL SELECT 'once', {_EQUAL.format("SELECT l_returnflag FROM lineitem", "SELECT DISTINCT l_returnflag FROM lineitem")}
+UNION ALL SELECT 'ordered', {_EQUAL.format(_PLACED.format("o_orderkey"), _PLACED.format("o_orderkey DESC"))} UNION ALL SELECT 'reordered', {_EQUAL.format("SELECT o_orderstatus FROM orders WHERE o_custkey < 50 ORDER BY o_orderkey", "SELECT o_orderstatus FROM orders WHERE o_custkey < 50 ORDER BY o_totalprice")}""")
 def multiset_equality(t: Tables) -> DataFrame:
-    flags = t.lineitem.select("l_returnflag")
-    return tables.same_rows(flags, t.lineitem.where("l_quantity > 0").select("l_returnflag"))
+    """Results compared as multisets, where repeats count and order doesn't, and in order, where places count too."""
+    flags, few = t.lineitem.select("l_returnflag"), t.orders.where("o_custkey < 50")
+    status = few.select("o_orderstatus")
+    pairs = {"same": (flags, t.lineitem.orderBy("l_quantity").select("l_returnflag")), "fewer": (flags, t.lineitem.where("l_quantity > 1").select("l_returnflag")), "once": (flags, flags.distinct()), "reordered": (status, few.orderBy("o_totalprice").select("o_orderstatus"))}
+    answers = [tables.same_rows(a, b).select(F.lit(k).alias("pair"), "equal") for k, (a, b) in pairs.items()]
+    answers.append(tables.same_sequence(few, few, "o_orderstatus", F.col("o_orderkey"), F.desc("o_orderkey")).select(F.lit("ordered").alias("pair"), "equal"))
+    out = answers[0]
+    for a in answers[1:]:
+        out = out.unionByName(a)
+    return out

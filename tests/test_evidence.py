@@ -120,3 +120,18 @@ def test_long_transcripts_are_cut_with_a_carry():
     rows = [("x" * 4 * n, at) for at, n in enumerate([10, 20, 30, 40, 25, 35])]
     assert list(transcripts.fold_long(rows[:2], 100, 30, 60, 6)) == [rows[:2]]
     assert list(transcripts.fold_long(rows, 70, 30, 50, 6)) == [rows[0:3], rows[2:4], [rows[4], rows[5]]]
+
+
+def test_action_lines_and_weak_sentences(spark):
+    from loomline.operators import tables
+
+    lines = ["We need to call Bob by Friday.", "I must finish", "todo:  plan   the trip", "Nothing here", "", "please review it on Monday"]
+    got = [r["a"] and tuple(r["a"]) for r in spark.createDataFrame([(x,) for x in lines], "t string").select(rules.action_item(F.col("t")).alias("a")).collect()]
+    assert got == [("call Bob", "We", "Friday"), ("finish", "Me", None), ("plan the trip", None, None), None, None, ("it", None, "Monday")]
+    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: w != "")
+    cards = [("one two three four. five six seven eight", "one two three four and five"), ("short. one two", "x")]
+    low = spark.createDataFrame(cards, "b string, s string").select(rules.weakest_sentence(F.col("b"), F.col("s"), words).alias("w")).collect()
+    assert [r["w"] for r in low] == [0.25, None]
+    rows = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)], "k long, v string").repartition(3)
+    assert tables.same_sequence(rows, rows.repartition(5), "v", F.col("k"), F.col("k")).first()["equal"]
+    assert not tables.same_sequence(rows, rows, "v", F.col("k"), F.desc("k")).first()["equal"]
