@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import scores, text
 from loomline.functions.rules import SECTION_STOPWORDS
-from loomline.operators import chunks, codeblocks, graph, sections, similarity
+from loomline.operators import chunks, codeblocks, graph, outline, sections, similarity
 from loomline.registry import Tables, query
 
 _STOP = "the|a|an|to|for|and|or|of|in|on|by|with|from"
@@ -169,10 +169,29 @@ def sentence_chunks(t: Tables) -> DataFrame:
     return chunks.chunk_documents(t.documents, chunks.by_sentences)
 
 
-@query("i11_document_map")
+_HEADED_SQL = r"""m AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE (i - 1) % 6 WHEN 0 THEN '[Page ' || CAST((i - 1) // 6 + 1 AS VARCHAR) || ']' || chr(10) || x
+WHEN 2 THEN CAST((i - 1) // 6 + 1 AS VARCHAR) || ' Heading ' || regexp_replace(string_split(x, ' ')[1], '[^A-Za-z]', '', 'g') || chr(10) || x WHEN 4 THEN CAST((i - 1) // 6 + 1 AS VARCHAR) || '.1 Part ' || regexp_replace(string_split(x, ' ')[1], '[^A-Za-z]', '', 'g') || chr(10) || 'a' || chr(9) || 'b' || chr(10) || x
+WHEN 5 THEN x || chr(10) || 'Chapter ..... 3' ELSE x END), chr(10)) AS text FROM documents)"""
+_KIND_SQL = r"CASE WHEN regexp_matches(text, '^\s*\[Page (\d{1,6})\]\s*$') THEN 'page' WHEN regexp_matches(text, '\.{4,}\s*\d+\s*$') THEN 'contents' WHEN regexp_matches(text, '^\s*(\d{1,3}(?:\.\d{1,3})*)[.)]?\s+([A-Z][^.]{2,80})$') THEN 'heading' WHEN regexp_matches(text, '^[^\t|]+(?:[\t|][^\t|]+)+$') THEN 'row' WHEN trim(text) = '' THEN 'empty' ELSE 'text' END"
+
+
+@query("i11_document_map", "WITH " + _HEADED_SQL + rf""", l AS (SELECT doc_id, i AS line, string_split(text, chr(10))[i] AS text FROM m, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)), k AS (SELECT *, length(text) AS length, {_KIND_SQL} AS kind FROM l),
+o AS (SELECT *, coalesce(sum(length + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, coalesce(last_value(CASE WHEN kind = 'page' THEN CAST(regexp_extract(text, '\d+') AS INT) END IGNORE NULLS) OVER w, 1) AS page, count(*) FILTER (WHERE kind = 'heading') OVER w AS section,
+CASE WHEN kind = 'heading' THEN regexp_extract(text, '^\s*([\d.]*\d)', 1) END AS num, CASE WHEN kind = 'heading' THEN trim(regexp_extract(text, '^\s*\d{{1,3}}(?:\.\d{{1,3}})*[.)]?\s+([A-Z][^.]{{2,80}})$', 1)) END AS title FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+g AS (SELECT doc_id, section, max(num) AS num, max(title) AS title, min(page) FILTER (WHERE kind <> 'page') AS page_start, max(page) FILTER (WHERE kind <> 'page') AS page_end, min(start) AS start, max(start + length) AS "end", count(*) FILTER (WHERE kind = 'row') AS n_rows, count(*) FILTER (WHERE kind = 'contents') AS n_contents, count(*) FILTER (WHERE kind = 'text') AS n_text FROM o GROUP BY 1, 2)
+SELECT g.*, CASE WHEN num IS NOT NULL THEN len(string_split(num, '.')) END AS level, (SELECT max(p.section) FROM g p WHERE p.doc_id = g.doc_id AND p.section < g.section AND contains(g.num, '.') AND p.num = regexp_replace(g.num, '\.\d+$', '')) AS parent FROM g""")
 def document_map(t: Tables) -> DataFrame:
-    marked = F.concat(F.lit("[Page "), (F.col("doc_id") % 7 + 1).cast("string"), F.lit("] "), "text")
-    return chunks.chunk_documents(t.documents.select("doc_id", marked.alias("text")), chunks.page_sections)
+    """The texts hold no headings, so lines of each are led by page markers, headings, rows and lines of contents."""
+    n = lambda i: (F.floor(i / 6) + 1).cast("string")
+    first = lambda x: F.regexp_replace(F.element_at(F.split(x, " "), 1), "[^A-Za-z]", "")
+
+    def led(x, i):
+        head = F.concat(n(i), F.lit(" Heading "), first(x), F.lit("\n"), x)
+        part = F.concat(n(i), F.lit(".1 Part "), first(x), F.lit("\na\tb\n"), x)
+        return F.when(i % 6 == 0, F.concat(F.lit("[Page "), n(i), F.lit("]\n"), x)).when(i % 6 == 2, head).when(i % 6 == 4, part).when(i % 6 == 5, F.concat(x, F.lit("\nChapter ..... 3"))).otherwise(x)
+
+    marked = F.array_join(F.transform(F.split("text", "\n"), led), "\n")
+    return outline.document_map(t.documents.select("doc_id", marked.alias("text")))
 
 
 _TITLED = """ln AS (SELECT doc_id AS map_id, i AS pos, string_split(text, chr(10))[i] AS body FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
