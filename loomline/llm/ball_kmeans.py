@@ -9,8 +9,8 @@ its neighbours: centroids less than two radii away, by distance. A task then han
 A member keeps its ball as written in the work table (``ball``). The comparison is exact whatever that ball is, so the
 table is written again only when more than ``REWRITE`` of the members have left it; the radius is then the greatest
 distance at the time of writing plus the way that the centroid has moved since. Every round sums by cluster inside the
-tasks: one row per task, cluster and component is shuffled, one
-row per cluster and component reaches the driver. Vectors are never shuffled.
+tasks: one row per task, cluster and component is shuffled, one row per cluster and component reaches the driver.
+Vectors are never shuffled.
 
 Rows whose vector is null, has another number of components, or holds a null, NaN or infinite component are left out.
 Components beyond +-32768 can't be summed in 64 bits: an error. Repeated rows count one by one; equal start hashes (equal
