@@ -50,7 +50,7 @@ def marked_documents(t: Tables) -> DataFrame:
 def document_source(t: Tables) -> DataFrame:
     """Texts exported as .txt files, read back as documents; byte order marks and refusals are tested on files of their own."""
     folder = live.shared_folder(t.spark)
-    t.documents.select(F.explode(F.split("text", "\n")).alias("value")).write.text(folder)
+    files.export_lines(t.documents.select(F.explode(F.split("text", "\n")).alias("value")), t.documents.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0, folder)
     read = files.read_documents(t.spark, folder).where("refused IS NULL").select("extension", F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("line"))
     return read.groupBy("extension").agg(F.count("*").alias("lines"), F.sum(F.char_length("line")).alias("chars"), F.count_if(F.col("line") == "").alias("empty"))
 

@@ -137,6 +137,12 @@ def card_markdown(title: Column, facts: dict[str, Column], body: Column) -> Colu
     return F.concat_ws("\n", F.concat(F.lit("# "), title), F.lit(""), *lines, F.lit(""), body)
 
 
+def export_lines(lines: DataFrame, size: int, path: str) -> None:
+    """(value) as text files. ``size`` bytes are dealt over files of about an eighth of ``MOST_BYTES``, however
+    large the tasks are, as ``documents`` refuses files above it."""
+    lines.repartition(max(1, -(-8 * size // MOST_BYTES))).write.text(path)
+
+
 def export_markdown(cards: DataFrame, path: str) -> None:
     """(pack, markdown) as text files, one folder per pack."""
     cards.select("pack", F.col("markdown").alias("value")).write.partitionBy("pack").mode("overwrite").text(path)
