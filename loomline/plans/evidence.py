@@ -169,13 +169,11 @@ def f4_filtered_topk(t: Tables) -> DataFrame:
     return filtered_topk(t, F.col("lang") == "de", 10)
 
 
-@query("f5_post_filtered", f"WITH {plans._SEM}, k AS (SELECT doc_id, round(semantic, 6) AS similarity FROM sem ORDER BY 2 DESC, 1 LIMIT 40), h AS (SELECT doc_id, similarity FROM k JOIN documents USING (doc_id) WHERE source IN ('src1', 'src3', 'src7') AND n_chars > 50 ORDER BY 2 DESC, 1 LIMIT 10) SELECT *, 10 - (SELECT count(*) FROM h) AS shortfall FROM h")
+@query("f5_post_filtered", f"WITH {plans._SEM}, h AS (SELECT doc_id, round(semantic, 6) AS similarity FROM sem JOIN documents USING (doc_id) WHERE source IN ('src1', 'src3', 'src7') AND n_chars > 50 ORDER BY 2 DESC, 1 LIMIT 10) SELECT *, 10 - (SELECT count(*) FROM h) AS shortfall FROM h")
 def f5_post_filtered(t: Tables) -> DataFrame:
-    """Four times the limit is fetched from the index, then filtered: rows may be missing, and ``shortfall`` tells how many."""
+    """The nearest rows that pass the filter, of all rows; ``shortfall`` tells how many of the limit don't exist."""
     limit = 10
-    near = plans._vectors(t).top(plans._own_vector(t), 4 * search_limit(limit), leave=F.col("vec_id") == plans.VECTOR_ID).withColumnRenamed("vec_id", "doc_id")
-    scope = F.col("source").isin("src1", "src3", "src7") & (F.col("n_chars") > 50)
-    kept = r.top(near.join(t.documents.where(scope).select("doc_id"), "doc_id"), limit, F.desc("similarity"), F.col("doc_id"))
+    kept = filtered_topk(t, F.col("source").isin("src1", "src3", "src7") & (F.col("n_chars") > 50), limit)
     return kept.withColumn("shortfall", F.lit(limit) - F.count("*").over(Window.partitionBy(F.lit(1))))  # ``limit`` rows
 
 
