@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,18 +197,18 @@ FUZZY = ["thing", "reasen", "witth", "from", "there"]
 _FUZZY = f"""f AS (SELECT doc_id, text, list_distinct({_TOKENS}) AS w, {s.listed(FUZZY)} AS q FROM documents), z AS (SELECT doc_id, text, CASE WHEN len(w) = 0 THEN 0.0 ELSE (len(list_filter(w, lambda x: list_contains(q, x))) + 0.5 * len(list_filter(w, lambda x: NOT list_contains(q, x) AND length(x) >= 4 AND len(list_filter(q, lambda y: length(y) >= 4 AND abs(length(x) - length(y)) <= 1 AND levenshtein(x, y) = 1)) > 0))) / sqrt(len(q) * CAST(len(w) AS DOUBLE)) END AS lexical FROM f)"""
 
 
-def fuzzy_lexical(words: Column, terms: list[str]) -> Column:
-    """Set cosine in which words of four letters or more, one edit from a term, count half."""
-    w, q = F.array_distinct(words), F.array(*[F.lit(x) for x in terms])
-    long = F.array(*[F.lit(x) for x in terms if len(x) >= 4])
-    near = lambda x: F.exists(long, lambda y: (F.abs(F.length(x) - F.length(y)) <= 1) & (F.levenshtein(x, y) == 1))
-    rest = F.filter(F.array_except(w, q), lambda x: (F.length(x) >= 4) & near(x))
+def fuzzy_lexical(w: Column, terms: list[str]) -> Column:
+    """Set cosine of different words ``w`` in which words of four letters or more, one edit from a term, count half."""
+    q = F.array(*[F.lit(x) for x in terms])
+    long = [x for x in terms if len(x) >= 4]
+    near = lambda x: reduce(or_, ((F.length(x).between(max(4, len(y) - 1), len(y) + 1)) & (F.levenshtein(x, F.lit(y), 1) == 1) for y in long))
+    rest = F.filter(w, lambda x: near(x) & ~x.isin(terms))
     return F.when(F.size(w) == 0, 0.0).otherwise((F.size(F.array_intersect(w, q)) + 0.5 * F.size(rest)) / F.sqrt(len(terms) * F.greatest(F.size(w), F.lit(1)).cast("double")))
 
 
 @query("h8_fuzzy_lexical", f"WITH {_FUZZY} SELECT doc_id, round(lexical, 6) AS score FROM z WHERE lexical > 0")
 def h8_fuzzy_lexical(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.round(fuzzy_lexical(text.tokens(F.col("text")), FUZZY), 6).alias("score")).where("score > 0")
+    return r.with_words(t.documents, "doc_id").select("doc_id", r.once(F.round(fuzzy_lexical(F.col("w"), FUZZY), 6)).alias("score")).where("score > 0")
 
 
 ENTITIES = ["the", "there", "c++", "edth"]
@@ -222,8 +225,8 @@ def entity_share(body: Column, entities: list[str]) -> Column:
 
 @query("h9_entity_fusion", f"WITH {_FUZZY} SELECT doc_id, round(0.55 * lexical + 0.45 * (" + " + ".join(f"regexp_matches(lower(text), '(^|[^a-z0-9]){e}([^a-z0-9]|$)')::INT" if e.isalpha() else f"contains(lower(text), '{e}')::INT" for e in ENTITIES) + f") / {float(len(ENTITIES))}, 6) AS score FROM z")
 def entity_fusion(t: Tables) -> DataFrame:
-    score = 0.55 * fuzzy_lexical(text.tokens(F.col("text")), FUZZY) + 0.45 * entity_share(F.col("text"), ENTITIES)
-    return t.documents.select("doc_id", F.round(score, 6).alias("score"))
+    score = 0.55 * fuzzy_lexical(F.col("w"), FUZZY) + 0.45 * entity_share(F.col("text"), ENTITIES)
+    return r.with_words(t.documents, "doc_id", "text").select("doc_id", F.round(score, 6).alias("score"))
 
 
 @query("h22_rerank", f"""WITH {plans._LEX}, {plans._SEM}, {plans._FUSED}, k AS (SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rank FROM fused QUALIFY rank <= 60), l AS (SELECT doc_id, max(quality) * 4 - 2.0 - max(toxic) AS logit FROM labels GROUP BY 1)
