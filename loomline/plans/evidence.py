@@ -249,9 +249,9 @@ bool_or(fits) AND bool_or(fits AND has_entity) AND coalesce(max(final) FILTER (W
 def sufficiency(t: Tables) -> DataFrame:
     """Per query: is there evidence with the property asked for (a number, for every other query) that names the entity,
     with a score of 0.32 or more? One aggregate; nothing is gathered."""
-    final = F.round(F.least(F.lit(1.0), scores.set_cosine(F.array(*[F.lit(x) for x in plans.TERMS]), text.tokens(F.col("text"))) * 3), 6)
-    named = F.contains(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), F.lit("the "))
-    items = t.documents.select(F.regexp_extract("source", r"\d+", 0).cast("long").alias("query_id"), final.alias("final"), F.col("text").rlike("[0-9]").alias("has_number"), named.alias("named"))
+    final = F.round(F.least(F.lit(1.0), scores.set_cosine(F.array(*[F.lit(x) for x in plans.TERMS]), F.col("w")) * 3), 6)
+    named = F.lower("text").rlike("the[^a-z0-9]")
+    items = r.with_words(t.documents, "source", "text").select(F.regexp_extract("source", r"\d+", 0).cast("long").alias("query_id"), r.once(F.struct(final.alias("final"), F.col("text").rlike("[0-9]").alias("has_number"), named.alias("named"))).alias("i")).select("query_id", "i.*")
     fits = F.col("has_number") | (F.col("query_id") % 2 == 1)
     usable = fits & F.col("named")
     best = F.coalesce(F.max(F.when(usable, F.col("final"))), F.lit(0.0))
