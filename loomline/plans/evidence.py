@@ -344,8 +344,8 @@ def coverage(t: Tables) -> DataFrame:
 SELECT query_id, top, mean, CASE WHEN cards = 0 THEN 4 WHEN query_id % 5 = 0 THEN 2 WHEN top >= 0.6 AND (named OR query_id % 3 <> 0) THEN 1 WHEN top >= 0.3 THEN 2 ELSE 3 END AS tier FROM g""")
 def evidence_tiers(t: Tables) -> DataFrame:
     """Tier 1 to 4 of a query's evidence: every fifth query asks for a synthesis, every third names an entity (here, a language)."""
-    score = F.round(F.least(F.lit(1.0), scores.set_cosine(F.array(*[F.lit(x) for x in plans.TERMS]), text.tokens(F.col("text"))) * 4), 6)
-    rows = t.documents.select(F.regexp_extract("source", r"\d+", 0).cast("long").alias("query_id"), score.alias("score"), "lang")
+    score = F.round(F.least(F.lit(1.0), scores.set_cosine(F.array(*[F.lit(x) for x in plans.TERMS]), F.col("w")) * 4), 6)
+    rows = r.with_words(t.documents, "source", "lang").select(F.regexp_extract("source", r"\d+", 0).cast("long").alias("query_id"), r.once(score).alias("score"), "lang")
     got = rows.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("cards"), F.coalesce(F.max("score"), F.lit(0.0)).alias("top"), F.round(F.avg("score"), 6).alias("mean"), F.bool_or((F.col("score") > 0) & (F.col("lang") == "es")).alias("named"))
     tier = F.when(F.col("cards") == 0, 4).when(F.col("query_id") % 5 == 0, 2).when((F.col("top") >= 0.6) & (F.col("named") | (F.col("query_id") % 3 != 0)), 1).when(F.col("top") >= 0.3, 2).otherwise(3)
     return got.select("query_id", "top", "mean", tier.alias("tier"))
