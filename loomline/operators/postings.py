@@ -115,7 +115,7 @@ def write_index(docs: DataFrame, key: str = "doc_id", reach: int = REACH) -> Pos
     dealt = spread.withColumn("stripe", F.floor(F.col("range") / STRIPE)).repartition("bucket", "stripe")
     each = F.sort_array(F.collect_list(F.struct("id", "row", "tf", "len")))  # at most ``reach`` different ids
     blocks = dealt.groupBy("bucket", "stripe", "term", "range").agg(F.count("*").alias("n"), F.sum("tf").alias("cf"), F.max("tf").alias("tf_top"), F.min("len").alias("len_least"), each.alias("p"))
-    flat = blocks.select("bucket", "term", "range", "n", "cf", "tf_top", "len_least", *[F.col(f"p.{c}").alias(f"{c}s") for c in ("id", "row", "tf", "len")])
+    flat = blocks.withColumn("p", _once(F.col("p"))).select("bucket", "term", "range", "n", "cf", "tf_top", "len_least", *[F.col(f"p.{c}").alias(f"{c}s") for c in ("id", "row", "tf", "len")])
     flat.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{folder}/blocks")
     sizes = held.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
     dropped(spark, f"{folder}/counted")
