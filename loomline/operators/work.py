@@ -4,14 +4,44 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import TypeVar
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 T = TypeVar("T")
 
 
+def pieces(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """The batch in parts with about ``limit`` bytes of text each: only one part's texts are Python strings at a time."""
+    text = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+    ends = np.cumsum(sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in text), np.full(batch.num_rows, 64)))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def flat_mapped(rows: DataFrame, one: Callable[[dict], Iterable[tuple]], schema: str) -> DataFrame:
+    """The rows that ``one`` makes of each row, Arrow batches in and out, in pieces on both sides."""
+    made = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                out = [x for row in part.to_pylist() for x in one(row)]
+                columns = list(zip(*out)) or [()] * len(made)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, made)], schema=made)
+
+    return rows.mapInArrow(run, schema)
+
+
 def shared_folder(spark: SparkSession, label: str = "work") -> str:
     """A new folder below ``spark.checkpoint.dir``; only local mode may leave that unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
