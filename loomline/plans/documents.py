@@ -233,8 +233,7 @@ def section_targets(t: Tables) -> DataFrame:
     some = lambda a, n: F.array_join(F.slice(F.split("body", " "), a, n), " ")
     part = F.when(F.col("pos") % 2 == 0, F.concat(F.lit(" Part "), (F.col("pos") % 3).cast("string"))).otherwise("")
     titled = lines.select("map_id", F.col("pos").cast("string").alias("num"), "pos", F.concat(some(1, 4), part).alias("heading"), "body")
-    ends = t.documents.select(F.col("doc_id").alias("map_id"), F.size(F.split("text", "\n")).alias("last"))
-    asked = lines.join(ends, "map_id")
-    one = asked.where("pos = last").select("map_id", F.lit(1).alias("query_id"), F.concat(F.lit("Can you tell me what "), some(2, 6)).alias("text"))
-    two = asked.where("pos = (last + 1) div 2").select("map_id", F.lit(2).alias("query_id"), F.concat(F.lit("Part 2 "), some(3, 4)).alias("text"))
+    split = t.documents.where("text IS NOT NULL").select(F.col("doc_id").alias("map_id"), F.split("text", "\n").alias("all"))
+    one = split.select("map_id", F.element_at("all", -1).alias("body")).select("map_id", F.lit(1).alias("query_id"), F.concat(F.lit("Can you tell me what "), some(2, 6)).alias("text"))
+    two = split.select("map_id", F.element_at("all", F.expr("CAST((size(all) + 1) div 2 AS INT)")).alias("body")).select("map_id", F.lit(2).alias("query_id"), F.concat(F.lit("Part 2 "), some(3, 4)).alias("text"))
     return sections.target_sections(titled, one.unionByName(two))
