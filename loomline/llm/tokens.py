@@ -15,6 +15,8 @@ from itertools import compress, count, repeat
 from operator import is_
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BYTE_LEVEL, WORD_END = "byte_bpe_50k.json", "word_bpe_49k.json"
 _OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # white space but " " and "\n"
@@ -22,6 +24,7 @@ _MARKS = re.compile(r"(.*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([!-/:-@\[-`{-~]+)"
 _MARK_SIGNS = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _CUT = re.compile(r"(?<!\s) (?!\s)")
 _LIMIT = 400_000  # pieces in each of two generations
+_KNOWN = 1_000_000  # words held in Arrow
 #: How byte-level vocabularies write bytes: printable ones as they are, the others from 256 on, in order.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -54,11 +57,10 @@ class Coder:
         self.line_feed = (self.tokenizer.encode("\n", add_special_tokens=False).ids or [0])[0]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.known = Known.none(self.dtype)
 
     def _units(self, text: str) -> list[str]:
         """Pieces whose ids, put together, are the text's. All but the first stand for themselves after one space."""
-        if self.words:
-            return text.replace("\n", " ").split(" ")
         # Between two characters that aren't white space, a space always begins a new piece, which takes it along.
         odd = "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text[:1] == " " or text[-1:] == " " or text[-2:] == "\n\n" or _OTHER.search(text)
         # One or two line feeds between two such characters are pieces of their own; each begins a unit that has no space.
@@ -134,8 +136,10 @@ class Coder:
     def _texts(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > _LIMIT:
             self.old, self.young = self.young, {}
+        if self.words:
+            return self._worded(texts)
         units = [self._units(t) for t in texts]
-        firsts = [u.pop(0) if not self.words else "" for u in units]  # the first piece has no space before it
+        firsts = [u.pop(0) for u in units]  # the first piece has no space before it
         got = [list(map(self.young.get, u)) for u in units]
         need = set().union(*(compress(u, map(is_, g, repeat(None))) for u, g in zip(units, got)))
         long = {x for x in need if len(x) > 64}
@@ -147,6 +151,56 @@ class Coder:
         heads = dict(zip(set(firsts), self._encode(list(set(firsts)))))
         return [heads[f] + b"".join(g) for f, g in zip(firsts, got)]
 
+    def _worded(self, texts: list[str]) -> list[bytes]:
+        """Where white space only separates: Arrow cuts the words and finds them among the known ones; ids are gathered."""
+        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        words, known, first = lists.flatten(), self.known, len(self.known.words)
+        which = pc.index_in(words, value_set=known.words)
+        if which.null_count:
+            left = words.filter(pc.is_null(which))
+            new = left.unique()
+            kept = pc.less_equal(pc.utf8_length(new), 64)
+            short, long = new.filter(kept), new.filter(pc.invert(kept))
+            names, apart = short.to_pylist(), long.to_pylist()
+            self._learn(set(names))
+            known = self.known = known.extended(short, [self.young[w] for w in names], self.dtype)
+            known = known.extended(long, self._encode(apart), self.dtype) if apart else known
+            at = pc.add(pc.index_in(left, value_set=pa.concat_arrays([short, long])), pa.scalar(first, pa.int32()))
+            which = pc.replace_with_mask(which, pc.is_null(which), at)
+        which = which.to_numpy()
+        self.known.used[which[which < len(self.known.words)]] = True
+        sizes = known.sizes[which]
+        ends = np.cumsum(sizes)
+        places = np.repeat(known.starts[which] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        data, width = known.ids[places].tobytes(), self.dtype.itemsize
+        bounds = (np.append(0, ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * width).tolist()
+        if len(self.known.words) > _KNOWN:
+            self.known = self.known.trimmed()
+        return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+class Known:
+    """Words with their ids, one after the other in ``ids``, and which were used since the last trim."""
+
+    def __init__(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray, used: np.ndarray) -> None:
+        self.words, self.ids, self.sizes, self.used = words, ids, sizes, used
+        self.starts = np.cumsum(sizes) - sizes
+
+    @classmethod
+    def none(cls, dtype: np.dtype) -> Known:
+        return cls(pa.array([], pa.large_string()), np.zeros(0, dtype), np.zeros(0, np.int64), np.zeros(0, bool))
+
+    def extended(self, words: pa.Array, codes: list[bytes], dtype: np.dtype) -> Known:
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // dtype.itemsize
+        return Known(pa.concat_arrays([self.words, words]), np.append(self.ids, np.frombuffer(b"".join(codes), dtype)), np.append(self.sizes, sizes), np.append(self.used, np.zeros(len(codes), bool)))
+
+    def trimmed(self) -> Known:
+        """Those used since the last trim; none if they are too many."""
+        if 2 * np.count_nonzero(self.used) > _KNOWN:
+            return Known.none(self.ids.dtype)
+        keep = self.used
+        return Known(self.words.filter(pa.array(keep)), self.ids[np.repeat(keep, self.sizes)], self.sizes[keep], np.zeros(np.count_nonzero(keep), bool))
+
 
 def coder(path: str) -> Coder:
     """One per worker process and tokenizer file."""

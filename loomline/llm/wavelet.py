@@ -240,7 +240,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end: int
                 out.write(to_bytes(np.frombuffer(b"".join(codes), dtype), ids, np.cumsum(sizes) - sizes, 8 * dtype.itemsize, end))
             return pa.RecordBatch.from_pylist([{"file": name, "part": part, "seq": seq, "tokens": int(sizes.sum())}], _MANIFEST)
 
-        for some in (p for batch in batches for p in slices(batch, 1)):
+        for some in (p for batch in batches for p in slices(batch, 1, 4 << 20)):
             for doc_id, code in zip(some.column(0).to_pylist(), coder.encode(some.column(1).to_pylist())):
                 ids.append(doc_id)
                 codes.append(code + tail)
