@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 
@@ -38,3 +41,36 @@ def test_trimmed_words(monkeypatch):
         _checked(coder, texts[k : k + 3])
     assert coder.encode([]) == [] and len(coder.known.words) <= 50
     _checked(coder, texts)
+
+
+def test_words_of_every_call_outlast_a_trim(monkeypatch):
+    monkeypatch.setattr(tokens, "_KNOWN", 60)
+    coder, asked = tokens.Coder(tokens.default_path(tokens.WORD_END)), []
+    learn = coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda need: (asked.extend(need), learn(need)))
+    for k in range(6):
+        _checked(coder, ["the of and to " + " ".join(f"{'abcdef'[k]}x{'abcdefghij'[n % 10]}{'klmn'[n // 10]}" for n in range(40))])
+    assert [asked.count(w) for w in ("the", "of", "and", "to")] == [1] * 4
+
+
+_MEMORY = """
+import random, re, sys
+from loomline.llm import tokens
+
+def anon():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) >> 10
+
+random.seed(1)
+coder = tokens.coder(tokens.default_path(tokens.BYTE_LEVEL))
+coder.encode(["some words"])
+before = anon()
+for _ in range(30):
+    coder.encode([" ".join("".join(random.choices("abcdefghij", k=8)) for _ in range(1000)) for _ in range(20)])
+print(anon() - before)
+"""
+
+
+def test_a_worker_holds_few_bytes_a_word():
+    """600,000 different words; in dictionaries they took 91 MB, in each worker."""
+    run = subprocess.run([sys.executable, "-c", _MEMORY], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(run.stdout) < 70, run.stdout
