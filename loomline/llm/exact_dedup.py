@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import BLANKS, materialize, slices, table, whole_row
+from loomline.llm.common import BLANKS, bloom, materialize, slices, table, whole_row
 
 _BLANK_BYTES = BLANKS.encode()
 _RUN_SCHEMA = pa.schema([("sha", pa.binary()), ("rid", pa.int64()), ("run", pa.int64()), ("n_chars", pa.int64()), ("doc_id", pa.int64()), ("clash", pa.bool_())])
@@ -77,18 +77,14 @@ def lookup(index: DataFrame, texts: list[str]) -> DataFrame:
 
 
 def _bloom(digests: DataFrame, bits: int) -> bytes:
-    """A Bloom filter of 2**bits bits with two probes; its size does not depend on the data."""
+    """A Bloom filter of 2**bits bits with two probes a digest."""
     probe = lambda at: F.conv(F.hex(F.substring("digest", at, 4)), 16, 10).cast("long") % (1 << bits)
-    words = digests.select(F.explode(F.array(probe(1), probe(5))).alias("p")).groupBy(F.shiftright("p", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("v"))
-    got = words.toArrow()
-    out = np.zeros(1 << max(0, bits - 5), np.uint32)
-    out[got["word"].to_numpy()] = got["v"].to_numpy().astype(np.uint32)
-    return out.tobytes()
+    return bloom(digests.select(F.explode(F.array(probe(1), probe(5))).alias("p")), bits)
 
 
-def _texts(docs: DataFrame, digest_bytes: int, bloom: bytes, bits: int, hold_bytes: int = 48 << 20) -> DataFrame:
+def _texts(docs: DataFrame, digest_bytes: int, wanted: bytes, bits: int, hold_bytes: int = 48 << 20) -> DataFrame:
     """(digest, data): each different text of a task once, as far as the filter lets its digest through."""
-    shared = docs.sparkSession.sparkContext.broadcast(bloom)
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, mask = np.frombuffer(shared.value, np.uint32), (1 << bits) - 1

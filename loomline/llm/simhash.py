@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import tokens
-from loomline.llm.common import discard, materialize, slices, table, whole_row
+from loomline.llm.common import bloom, discard, materialize, slices, table, whole_row
 
 SEED, SHINGLE, DISTANCE, BLOCK = 42, 4, 4, 1024
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = [f"w{k}" for k in range(8)]
+COUNTED, FILTER_BITS = 512, 24  # shingles from which a set's classes are counted; bits of the filter of wanted ids
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -236,9 +237,25 @@ def _parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
 
 
+def _class_counts(hashes: np.ndarray) -> bytes | None:
+    """For a large set of n hashes: how many fall into each of 2**k classes, n/4 to n/2 in number, modulo 256."""
+    if len(hashes) < COUNTED:
+        return None
+    classes = 1 << (len(hashes).bit_length() - 2)
+    return np.bincount((hashes >> np.uint64(7) & np.uint64(classes - 1)).astype(np.int64), minlength=classes).astype(np.uint8).tobytes()
+
+
+def _least_apart(x: bytes, y: bytes) -> int:
+    """So many hashes at least differ between two sets with these counts. Parity bits can't say more than 512, and say
+    256 of any two large sets; counts grow with the sets."""
+    p, q = sorted((np.frombuffer(c, np.uint8) for c in (x, y)), key=len)
+    apart = p - q.reshape(-1, len(p)).sum(axis=0, dtype=np.uint8)  # of the smaller number of classes; modulo 256
+    return int(np.minimum(apart, np.negative(apart)).sum(dtype=np.int64))
+
+
 def _prefixes(texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(id, n, toks, w0 to w7): of each set of n shingles the rarest, so many that two sets as similar as ``least``
-    share one, and the set's parity bits.
+    """(id, n, toks, w0 to w7, counts): of each set of n shingles the rarest, so many that two sets as similar as
+    ``least`` share one, and the set's parity bits and class counts.
 
     All sets are ordered alike, by the count of a shingle's bucket and then its hash. Any such order is exact; this one
     leaves shared passages out of the prefixes, as their buckets stand out.
@@ -249,30 +266,53 @@ def _prefixes(texts: DataFrame, shingle: int, least: float) -> DataFrame:
         tokens.release()
         for whole in batches:
             for batch in slices(whole, 1):
-                sizes, toks, bits = [], [], []
+                sizes, toks, bits, counts = [], [], [], []
                 for t in batch.column(1).to_pylist():
                     hashes = shingle_hashes(t, shingle)
                     n = len(hashes)
                     toks.append(hashes[np.lexsort((hashes, rarity[_bucket(hashes)]))[: n - int(np.ceil(least * n - 1e-9)) + 1]].view(np.int64))
                     sizes.append(n)
                     bits.append(_parity(hashes))
+                    counts.append(_class_counts(hashes))
                 ends = np.cumsum([0, *map(len, toks)]).astype(np.int32)
                 words = np.stack(bits, axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(toks)), *map(pa.array, words)], ["id", "n", "toks", *_WORDS])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(toks)), *map(pa.array, words), pa.array(counts, pa.binary())], ["id", "n", "toks", *_WORDS, "counts"])
 
-    return texts.select("id", F.col("text").cast("string")).mapInArrow(run, "id long, n int, toks array<long>, " + ", ".join(f"{w} long" for w in _WORDS))
+    return texts.select("id", F.col("text").cast("string")).mapInArrow(run, "id long, n int, toks array<long>, " + ", ".join(f"{w} long" for w in _WORDS) + ", counts binary")
 
 
-def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, hashes): the sorted different shingle hashes of each text, as bytes."""
+def _shingle_sets(texts: DataFrame, shingle: int, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """(id, hashes): the sorted different shingle hashes, as bytes, of each text whose ``id`` is wanted.
+
+    Texts stay where they are: a filter of a fixed size goes to them. It lets some texts through that aren't wanted,
+    and none that is wanted gets lost.
+    """
+    places = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << bits)) for k in range(2)]
+    shared = texts.sparkSession.sparkContext.broadcast(bloom(wanted.select(F.explode(F.array(*places)).alias("p")), bits))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(shared.value, np.uint32)
         for whole in batches:
-            for batch in slices(whole, 1):
+            through = np.ones(whole.num_rows, bool)
+            for c in (2, 3):
+                p = whole.column(c).to_numpy()
+                through &= (words[p >> 5] >> (p & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+            for batch in slices(whole.filter(pa.array(through)), 1):
                 sets = [shingle_hashes(t, shingle).tobytes() for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "hashes"])
 
-    return texts.select("id", F.col("text").cast("string")).mapInArrow(run, "id long, hashes binary")
+    return texts.select("id", F.col("text").cast("string"), *[p.alias(f"p{k}") for k, p in enumerate(places)]).mapInArrow(run, "id long, hashes binary")
+
+
+def _within(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, most, x, y) whose class counts x and y don't say that more than ``most`` hashes differ."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [_least_apart(x.as_buffer(), y.as_buffer()) <= most.as_py() for most, x, y in zip(*(batch.column(c) for c in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "most", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _jaccard_at_least(pairs: DataFrame, least: float) -> DataFrame:
@@ -296,7 +336,8 @@ def similar(texts: DataFrame, least: float, shingle: int, distance: int = DISTAN
     First the cheap proposals: texts whose fingerprints are equal or linked in the grid, and each text with three texts
     per shared shingle of its prefix (those with the smallest hashes), which joins large groups by few comparisons.
     Then all pairs of texts that share a prefix shingle and aren't yet in one component, unless the first shared place
-    or the parity bits rule them out. Every proposal that sizes and parity bits allow is decided by the whole sets.
+    or the parity bits rule them out. Every proposal that sizes, parity bits and the class counts of large sets allow is
+    decided by the whole sets.
     """
     prefixes = materialize(_prefixes(texts, shingle, least), "prefixes")
     spread = prefixes.select("id", "n", F.posexplode("toks").alias("pos", "tok"))
@@ -306,17 +347,24 @@ def similar(texts: DataFrame, least: float, shingle: int, distance: int = DISTAN
     total = lambda m, n: (F.col(m) + F.col(n)) / (1 + least)  # noqa: E731  shingles that two sets can have in all
     fits = lambda m, n: F.least(m, n) >= F.greatest(m, n) * least - 1e-6
     apart = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in _WORDS), F.lit(0))
-    alike = fits(F.col("na"), F.col("nb")) & (apart <= total("na", "nb") * (1 - least) + 1e-6)
+    most = total("na", "nb") * (1 - least) + 1e-6  # shingles that they can differ in
+    alike = fits(F.col("na"), F.col("nb")) & (apart <= most)
+    kind = [most.alias("most"), (F.least("na", "nb") >= COUNTED).alias("large")]
 
     def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that sizes and parity bits don't rule out: whole sets are moved for these only."""
+        """Pairs (a, b, most, large) that sizes and parity bits don't rule out."""
         a, b = (prefixes.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}{s}") for c in ("n", *_WORDS)]) for s in "ab")
-        return pairs.join(a, "a").join(b, "b").where(alike).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").where(alike).select("a", "b", *kind)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "proposed")
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = materialize(_shingle_sets(texts.join(ends, "id", "left_semi"), shingle), "sets")
+        """Pairs (a, b) that are similar. Class counts are moved for large sets first, and whole sets for what they leave."""
+        proposed = materialize(pairs, "proposed")
+        counts = prefixes.where(F.col("n") >= COUNTED).select("id", "counts")
+        large = proposed.where("large").join(counts.select(F.col("id").alias("a"), F.col("counts").alias("x")), "a").join(counts.select(F.col("id").alias("b"), F.col("counts").alias("y")), "b")
+        pairs = materialize(proposed.where("not large").select("a", "b").union(_within(large)), "close")
+        discard(proposed)
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+        sets = materialize(_shingle_sets(texts, shingle, ends), "sets")
         joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
         found = materialize(_jaccard_at_least(joined, least), "similar")
         discard(pairs, sets)
@@ -339,15 +387,15 @@ def similar(texts: DataFrame, least: float, shingle: int, distance: int = DISTAN
     discard(members)
     # Keys that hold one component only fall out before any rows are paired, or get their parity bits.
     many = placed.groupBy("tok").agg((F.min("root") != F.max("root")).alias("many")).where("many").select("tok")
-    paired = materialize(placed.join(many, "tok"), "many")
+    many_rows = materialize(placed.join(many, "tok"), "many")
     discard(placed)
-    paired = paired.join(prefixes.select("id", *_WORDS), "id")
+    paired = many_rows.join(prefixes.select("id", *_WORDS), "id")
     side = lambda s: paired.select(*[F.col(c).alias(f"{c}{s}") for c in ("tok", "id", "n", "pos", "root", *_WORDS)])
     # Where a pair's first common shingle stands, all its common ones stand from there on; parity bits show differences.
     possible = alike & (F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= total("na", "nb") * least - 1e-6)
     pairs = side("a").join(side("b"), (F.col("toka") == F.col("tokb")) & (F.col("roota") < F.col("rootb")) & possible)
-    more = verified(pairs.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct())
-    discard(prefixes)
+    more = verified(pairs.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"), *kind).distinct())
+    discard(prefixes, many_rows)
     return components(edges.union(more))
 
 
